@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import jaccard
+from loomstone.llm import jaccard, sharding
 from loomstone.llm.runtime import documents
 
 
@@ -14,8 +14,12 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_sharding,)}
 
 
 def oracle_sql() -> dict[str, str]:
