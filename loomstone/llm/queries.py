@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import jaccard, sharding
+from loomstone.llm import jaccard, mixing, sharding
 from loomstone.llm.runtime import documents
 
 
@@ -18,8 +18,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_sharding,)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_sharding, op9_mixing_sources,)}
 
 
 def oracle_sql() -> dict[str, str]:
