@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import jaccard, mixing, sharding
+from loomstone.llm import jaccard, line_dedup, mixing, sharding
 from loomstone.llm.runtime import documents
 
 
@@ -22,9 +22,13 @@ def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_sharding, op9_mixing_sources,)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_line_dedup, op7_sharding, op9_mixing_sources,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
