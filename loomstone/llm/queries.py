@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import jaccard, line_dedup, mixing, sharding
-from loomstone.llm.runtime import documents
+from loomstone.llm import jaccard, line_dedup, mixing, quality, sharding
+from loomstone.llm.runtime import documents, labels
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(documents(spark, sf_dir))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_line_dedup, op7_sharding, op9_mixing_sources,)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_line_dedup, op7_sharding, op8_quality_classifier, op9_mixing_sources,)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -66,3 +66,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             break
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
