@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import jaccard, line_dedup, mixing, quality, sharding
+from loomstone.llm import jaccard, line_dedup, mixing, quality, sharding, toxicity
 from loomstone.llm.runtime import documents, labels
 
 
@@ -30,8 +30,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_line_dedup, op7_sharding, op8_quality_classifier, op9_mixing_sources,)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op5_line_dedup, op7_sharding, op8_quality_classifier, op9_mixing_sources,)}
 
 
 def oracle_sql() -> dict[str, str]:
