@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import bpe, jaccard, line_dedup, mixing, quality, sharding, toxicity
+from loomstone.llm import bpe, fingerprint, jaccard, line_dedup, mixing, quality, sharding, toxicity
 from loomstone.llm.runtime import documents, labels
 
 
@@ -38,8 +38,12 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(documents(spark, sf_dir))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_byte_bpe, op5_line_dedup, op7_sharding, op8_quality_classifier, op9_mixing_sources,)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_byte_bpe, op4_document_fingerprints, op5_line_dedup, op7_sharding, op8_quality_classifier, op9_mixing_sources,)}
 
 
 def oracle_sql() -> dict[str, str]:
