@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomstone.llm import bpe, fingerprint, jaccard, line_dedup, mixing, neighbours, quality, sharding, toxicity
+from loomstone.llm import bpe, fingerprint, jaccard, line_dedup, mixing, neighbours, quality, sharding, token_files, toxicity
 from loomstone.llm.runtime import documents, labels
 
 
@@ -46,8 +46,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search_fiftieths(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_byte_bpe, op4_document_fingerprints, op5_line_dedup, op7_sharding, op8_quality_classifier, op9_mixing_sources, op10_nearest_neighbours,)}
+    return {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard_join, op3_byte_bpe, op4_document_fingerprints, op5_line_dedup, op6_token_files, op7_sharding, op8_quality_classifier, op9_mixing_sources, op10_nearest_neighbours,)}
 
 
 def oracle_sql() -> dict[str, str]:
