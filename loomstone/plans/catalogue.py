@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomstone.plans import registry
+from loomstone.plans import coding, dictionaries, rates, relational, sequences, vectors  # noqa: F401  they register their queries
+
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
