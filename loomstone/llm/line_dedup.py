@@ -107,7 +107,8 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     replaced; other columns stay. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    # The caller's columns travel in a struct, so that none can clash with those made here.
+    rows = docs.drop("n_lines", "n_dropped").select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
     cuts = rows.agg(F.percentile_approx("id", [(i + 1) / batches for i in range(batches - 1)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
     store = LineRuns(spark)
@@ -121,12 +122,13 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     side = F.broadcast(side) if repeated.count() <= BROADCAST_ROWS else side
     hits = document_lines(rows.select("id", "text"), min_chars).join(side, HASH).where("id <> keeper")
     drops = hits.groupBy("id").agg(F.collect_set(F.struct(*HASH)).alias("_drops"))
-    out = rows.drop("n_lines", "n_dropped").join(drops, "id", "left")
-    out = out.withColumn("_kept", F.when(F.col("_drops").isNotNull(), F.filter(lines_of(F.col("text")), lambda x: ~(F.array_contains("_drops", line_hash(x)) & (F.char_length(line_key(x)) >= min_chars)))))
-    n = F.size(lines_of(F.col("text")))
-    out = out.withColumn("n_lines", n.cast("long")).withColumn("n_dropped", F.coalesce(F.col("n_lines") - F.size("_kept"), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.coalesce(F.array_join("_kept", "\n"), "text", F.lit("")))
-    return out.select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    lines = lines_of(F.col("text"))
+    kept = F.filter(lines, lambda x: ~(F.array_contains("_drops", line_hash(x)) & (F.char_length(line_key(x)) >= min_chars)))
+    out = rows.join(drops, "id", "left").withColumn("_kept", F.when(F.col("_drops").isNotNull(), kept))
+    n = F.size(lines).cast("long")
+    text = F.coalesce(F.array_join("_kept", "\n"), "text", F.lit(""))
+    row = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*row, n.alias("n_lines"), F.coalesce(n - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

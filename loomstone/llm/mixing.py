@@ -136,11 +136,14 @@ def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     placed, _, uses = _plan(docs, seed)
     pieces = _pieces(placed, uses).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("uses").cast("int"))))
     parts = pieces.groupBy("doc_id", *KEY, "text_hash", "before", "size", "copy").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("parts"), F.sum("n").alias("n_taken"))
-    own = docs.withColumns({"_null": F.col("source").isNull().cast("int"), "_key": F.coalesce(F.col("source").cast("string"), F.lit("")), "_hash": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    # The caller's columns travel in a struct, so that none can clash with those made here.
+    own = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col("source").isNull().cast("int").alias("_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_key"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash"))
     # Rows equal in all of these have the same text: one of them serves the pieces of all.
-    own = own.dropDuplicates(["doc_id", "_null", "_key", "_hash"]).withColumnRenamed("doc_id", "_doc")
+    own = own.dropDuplicates(["_doc", "_null", "_key", "_hash"])
     joined = own.join(parts, F.col("_doc").eqNullSafe(F.col("doc_id")) & (F.col("_null") == F.col("no_source")) & (F.col("_key") == F.col("source_key")) & (F.col("_hash") == F.col("text_hash")))
-    words = F.split(F.btrim("text", F.lit(_SPACES)), r"[\x20\x09-\x0D]+")
+    words = F.split(F.btrim(F.col("_row.text"), F.lit(_SPACES)), r"[\x20\x09-\x0D]+")
+    joined = joined.withColumn("_words", F.when(F.col("n_taken") < F.col("size"), words))
     some = F.array_join(F.flatten(F.transform("parts", lambda p: F.slice(F.col("_words"), (p["at"] + 1).cast("int"), p["n"].cast("int")))), " ")
-    joined = joined.withColumn("_words", F.when(F.col("n_taken") < F.col("size"), words)).withColumn("text", F.when(F.col("n_taken") == F.col("size"), F.col("text")).otherwise(some))
-    return joined.select(*[F.char_length("text").cast(t).alias(c) if c == "n_chars" else F.col(c).cast(t).alias(c) for c, t in docs.dtypes])
+    joined = joined.withColumn("_text", F.when(F.col("n_taken") == F.col("size"), F.col("_row.text")).otherwise(some))
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
+    return joined.select(*[new.get(c, F.col(f"_row.`{c}`")).cast(t).alias(c) for c, t in docs.dtypes])
