@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.llm.runtime import small_batches
+
 #: Code points of a chunk, and how many more it reads into the next.
 CHUNK, OVERLAP = 32_768, 1_024
 
@@ -57,7 +59,7 @@ def _encode(path: str, pattern: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = encoding(path, pattern)
         for texts in batches:
-            yield pd.Series([own.encode_to_numpy(t, disallowed_special=()).astype(np.int32) for t in texts])
+            yield pd.Series([own.encode_to_numpy(t, disallowed_special=()).view(np.int32) for t in texts], dtype=object)
 
     return run
 
@@ -82,13 +84,15 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     one piece. Further columns stay (one named ids is replaced); an empty table gives no rows; rows that repeat keep a row each.
     """
     path, pattern = path or defaults()[0], pattern or defaults()[1]
+    small_batches(docs.sparkSession)
     run = _encode(path, pattern)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = docs.drop("ids")
-    short = docs.where(F.char_length(text) <= chunk).withColumn("ids", run(text))
-    own = docs.where(F.char_length(text) > chunk).withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_hash": F.xxhash64("text")})
+    # The caller's columns travel in a struct, so that none can clash with those made here.
+    packed = docs.drop("ids").select(F.struct("*").alias("_row"))
+    text = F.coalesce(F.col("_row.text"), F.lit(""))
+    short = packed.where(F.char_length(text) <= chunk).withColumn("ids", run(text))
+    own = packed.where(F.char_length(text) > chunk).select("_row", F.coalesce(F.col("_row.doc_id").cast("long"), F.lit(-1)).alias("_doc"), F.xxhash64(text).alias("_hash"), F.char_length(text).alias("_n"))
     # Rows with the same id and text have the same ids: one of them is cut into chunks.
-    long = own.select(F.col("_doc").alias("doc"), F.col("_hash").alias("hash"), F.char_length("text").alias("n"), "text").dropDuplicates(["doc", "hash", "n"])
+    long = own.select(F.col("_doc").alias("doc"), F.col("_hash").alias("hash"), F.col("_n").alias("n"), F.col("_row.text").alias("text")).dropDuplicates(["doc", "hash", "n"])
     key = ["doc", "hash", "n"]
     parts = long.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk).cast("int"))))
     parts = parts.select(*key, "k", F.substring(F.col("text"), F.col("k") * chunk + 1, F.lit(chunk + overlap)).alias("piece"))
@@ -104,8 +108,8 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     pieces = pieces.select(*key, "i", F.substring(F.col("text"), (start + 1).cast("int"), (end - start).cast("int")).alias("piece"))
     coded = pieces.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key, "i").select(*key, "i", run(F.col("piece")).alias("ids"))
     coded = coded.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda x: x["ids"])).alias("ids"))
-    joined = own.join(coded, (F.col("_doc") == F.col("doc")) & (F.col("_hash") == F.col("hash")) & (F.char_length("text") == F.col("n")))
-    return short.unionByName(joined.select(*docs.columns, "ids"))
+    joined = own.join(coded, (F.col("_doc") == F.col("doc")) & (F.col("_hash") == F.col("hash")) & (F.col("_n") == F.col("n")))
+    return short.unionByName(joined.select("_row", "ids")).select("_row.*", "ids")
 
 
 def decode(ids: Column, path: str | None = None) -> Column:
@@ -118,7 +122,7 @@ def decode(ids: Column, path: str | None = None) -> Column:
         if [ranks(path)[t] for t in table[-1:]] != [len(table) - 1]:
             raise ValueError(f"{path}: ranks have gaps")
         for rows in batches:
-            yield pd.Series([b"" if x is None else b"".join(map(table.__getitem__, x.tolist())) for x in rows])
+            yield pd.Series([b"" if x is None else b"".join(map(table.__getitem__, x.tolist())) for x in rows], dtype=object)
 
     return run(ids)
 
