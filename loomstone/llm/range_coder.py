@@ -1,12 +1,12 @@
 """An adaptive context-mixing range coder for token ids, run in step over many blocks at once.
 
-Each block is coded on its own from a fresh state, so that numpy can take the k-th id of all blocks in
-one step. An id is first compared with what order-2 and order-1 contexts of its block predict; the
-chances of the three outcomes (order 2, order 1, neither) are mixed from estimates by the two
-contexts' confidences and by the last outcomes, with weights that follow whichever did
-better. If neither predicts it, its four hex digits are coded by adaptive order-0 counts, each
-in the context of the digits before it. All arithmetic is on integers, so that decoding repeats
-encoding exactly on any machine.
+Each block is coded on its own from a fresh state, so that numpy can take the k-th id of all
+blocks in one step. An id is first compared with what order-2 and order-1 contexts of its block
+predict; the chances of the three outcomes (order 2, order 1, neither) are mixed from adaptive
+estimates by the two contexts' confidences and by the last outcomes, with weights that follow
+whichever did better. If neither predicts it, it is coded by the order-0 chances of the blocks
+that are coded together, a table that goes before them: a block alone is too short to learn the chances of
+so many ids. All arithmetic is on integers, so that decoding repeats encoding exactly on any machine.
 """
 
 from __future__ import annotations
@@ -16,170 +16,183 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-_SLOTS, _DIGIT_SLOTS, _GAIN, _MOST = 4096, 1024, 32, 1 << 13
-_TOP, _BOTTOM, _WORD = np.int64(1 << 24), np.int64(1 << 16), np.int64((1 << 32) - 1)
+#: Bits of a chance in the order-0 table, of the window, of a word of output, and of the least range.
+_TABLE, _WINDOW, _WORD, _LEAST = 20, 48, 16, 24
+_SLOTS = 2048
+_U = np.uint64
+_TOP, _MASK, _LEAST_MASK = _U(1 << _WINDOW - _WORD), _U((1 << _WINDOW) - 1), _U((1 << _LEAST) - 1)
 
 
 class Coder:
-    """Carry-less 32-bit range coders, one for each lane; lanes are named by index arrays."""
+    """Carry-less range coders, one for each lane; lanes are named by index arrays."""
 
     def __init__(self, lanes: int, payloads: list[bytes] | None = None):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _WORD, np.int64)
-        self.at, self.code = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _MASK, _U)
+        self.at, self.code = np.zeros(lanes, np.int64), np.zeros(lanes, _U)
         self.reads = payloads is not None
         if self.reads:
-            starts = np.cumsum([0, *(len(p) for p in payloads)])
-            self.data = np.frombuffer(b"".join(payloads) + bytes(8), np.uint8)
+            starts = np.cumsum([0, *(len(p) // 2 for p in payloads)])
+            self.data = np.frombuffer(b"".join(payloads) + bytes(8), "<u2").astype(_U)
             self.at = starts[:-1].astype(np.int64)
-            for _ in range(4):
-                self.code = self.code << 8 | self.data[self.at]
+            for _ in range(_WINDOW // _WORD):
+                self.code = self.code << _U(_WORD) | self.data[self.at]
                 self.at += 1
         else:
-            self.data = np.zeros((lanes, 4096), np.uint8)
-
-    def target(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Reading: where in 0 .. total - 1 the lanes' code lies."""
-        return np.minimum(((self.code[lane] - self.low[lane]) & _WORD) // (self.range[lane] // total), total - 1)
-
-    def step(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """Narrows the lanes' ranges to [low, low + size) of total, and moves bytes that are settled."""
-        r = self.range[lane] // total
-        own_low, own = (self.low[lane] + r * low) & _WORD, r * size
-        code = self.code[lane]
+            self.data = np.zeros((lanes, BLOCK), np.uint16)
+
+    def target(self, lane: np.ndarray, bits: int) -> np.ndarray:
+        """Reading: where in 0 .. 2**bits - 1 the lanes' code lies."""
+        return np.minimum(((self.code[lane] - self.low[lane]) & _MASK) // (self.range[lane] >> _U(bits)), _U((1 << bits) - 1)).astype(np.int64)
+
+    def step(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray, bits: int) -> None:
+        """Narrows the lanes' ranges to [low, low + size) of 2**bits, and moves words that are settled."""
+        r = self.range[lane] >> _U(bits)
+        own_low = self.low[lane] + r * low.astype(_U)
+        own_low &= _MASK
+        own = r * size.astype(_U)
         while True:
-            same = (own_low ^ (own_low + own)) < _TOP
-            tight = ~same & (own < _BOTTOM)
-            if not (move := same | tight).any():
+            move = (own_low ^ (own_low + own)) < _TOP
+            tight = own <= _LEAST_MASK
+            m = np.flatnonzero(move | tight)
+            if not len(m):
                 break
-            own = np.where(tight, -own_low & (_BOTTOM - 1), own)
-            m = np.flatnonzero(move)
-            at = self.at[lane[m]]
+            short = m[~move[m]]
+            own[short] = (~own_low[short] + _U(1)) & _LEAST_MASK
+            name = lane[m]
+            at = self.at[name]
             if self.reads:
-                code[m] = (code[m] << 8 | self.data[np.minimum(at, len(self.data) - 1)]) & _WORD
+                self.code[name] = (self.code[name] << _U(_WORD) | self.data[np.minimum(at, len(self.data) - 1)]) & _MASK
             else:
-                if at.max(initial=0) + 8 >= self.data.shape[1]:
+                if at.max() + 8 >= self.data.shape[1]:
                     self.data = np.hstack([self.data, np.zeros_like(self.data)])
-                self.data[lane[m], at] = own_low[m] >> 24
-            self.at[lane[m]] = at + 1
-            own_low[m] = own_low[m] << 8 & _WORD
-            own[m] = own[m] << 8 & _WORD
-        self.low[lane], self.range[lane], self.code[lane] = own_low, own, code
+                self.data[name, at] = own_low[m] >> _U(_WINDOW - _WORD)
+            self.at[name] = at + 1
+            own_low[m] = own_low[m] << _U(_WORD) & _MASK
+            own[m] = own[m] << _U(_WORD) & _MASK
+        self.low[lane], self.range[lane] = own_low, own
 
     def payloads(self) -> list[bytes]:
-        for k in range(4):
-            self.data[np.arange(len(self.low)), self.at + k] = self.low >> (24 - 8 * k) & 255
-        return [row[: n + 4].tobytes() for row, n in zip(self.data, self.at.tolist(), strict=True)]
-
-
-def _digits(coder: Coder, counts: np.ndarray, lane: np.ndarray, context: np.ndarray, digit: np.ndarray | None) -> np.ndarray:
-    """Codes or reads one hex digit of each lane by the counts of its context, which learn it."""
-    own = counts[lane, context].astype(np.int64)
-    high = np.cumsum(own, axis=1)
-    total = high[:, -1]
-    if digit is None:
-        digit = (coder.target(lane, total)[:, None] >= high).sum(1)
-    row = np.arange(len(lane))
-    size = own[row, digit]
-    coder.step(lane, high[row, digit] - size, size, total)
-    own[row, digit] += _GAIN
-    full = np.flatnonzero(total + _GAIN > _MOST)
-    own[full] = (own[full] + 1) >> 1
-    counts[lane, context] = own
-    return digit
-
-
-def _run(lanes: int, steps: int, coder: Coder, ids: np.ndarray | None) -> np.ndarray:
-    """ids: (lanes, steps) to encode, or None to read them."""
-    out = np.zeros((lanes, steps), np.int64)
+        words = _WINDOW // _WORD
+        for k in range(words):
+            self.data[np.arange(len(self.low)), self.at + k] = self.low >> _U(_WINDOW - _WORD * (k + 1)) & _U(0xFFFF)
+        return [row[: n + words].astype("<u2").tobytes() for row, n in zip(self.data, self.at.tolist(), strict=True)]
+
+
+class Order0:
+    """Chances of ids in 2**-_TABLE: at least 1 for each id that occurs."""
+
+    def __init__(self, names: np.ndarray, sizes: np.ndarray):
+        self.names, self.sizes = names, sizes
+        low = np.cumsum(sizes) - sizes
+        self.size_of, self.low_of = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.size_of[names], self.low_of[names] = sizes, low
+        self.name_at = np.repeat(names, sizes)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Order0:
+        counts = np.bincount(ids)
+        names = np.flatnonzero(counts)
+        sizes = np.maximum(1, (counts[names] << _TABLE) // counts.sum())
+        while extra := int(sizes.sum()) - (1 << _TABLE):  # the largest take what rounding left over
+            most = int(sizes.argmax())
+            sizes[most] -= min(extra, int(sizes[most]) // 2) if extra > 0 else extra
+        return cls(names, sizes)
+
+    def written(self) -> bytes:
+        return zlib.compress(np.diff(self.names, prepend=0).astype("<u2").tobytes() + self.sizes.astype("<u4").tobytes())
+
+    @classmethod
+    def read(cls, data: bytes) -> Order0:
+        raw = zlib.decompress(data)
+        n = len(raw) // 6
+        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, "<u4", n, 2 * n).astype(np.int64))
+
+
+def _run(lanes: int, steps: int, coder: Coder, order0: Order0, ids: np.ndarray | None) -> np.ndarray:
+    """ids: (steps, lanes) to encode, or None to read them."""
+    out = np.zeros((steps, lanes), np.int64)
     every = np.arange(lanes)
-    guess = np.zeros((2, lanes, _SLOTS), np.int32)  # what followed a context: of order 2, of order 1
-    sure = np.zeros((2, lanes, _SLOTS), np.uint8)
-    # Chances of the three outcomes by context, in 16 bits, and the mixing weights of the estimates.
-    chance = np.tile(np.array([13107, 13107, 39322], np.int64), (3, lanes, 16, 1))
-    weight = np.full((3, lanes), 1 << 14, np.int64)
-    history = np.zeros(lanes, np.int64)
-    counts = [np.ones((lanes, n, 16), np.uint16) for n in (1, 16, 256, _DIGIT_SLOTS)]
-    one = np.zeros(lanes, np.int64)
-    two = np.zeros(lanes, np.int64)
-    total = np.full(lanes, 1 << 16, np.int64)
+    base, sixteen = every * _SLOTS, every * 16
+    # What followed a context, of order 2 and of order 1, and above its 16 bits how often in a row.
+    guess = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
+    # By context the chances of order 2 and, above its 16 bits, of order 1; and the mixing weights of the three estimates.
+    chance = [np.full(lanes * 16, 12000 | 12000 << 16, np.uint32) for _ in range(3)]
+    weight = np.full((3, lanes), 64, np.int32)
+    one, two, history = (np.zeros(lanes, np.int64) for _ in range(3))
     for k in range(steps):
-        slot = [(one * 40503 + two * 30011 >> 3) % _SLOTS, one * 40503 % _SLOTS]
-        g = [guess[o][every, slot[o]].astype(np.int64) for o in (0, 1)]
-        c = [sure[o][every, slot[o]].astype(np.int64) for o in (0, 1)]
+        slot = [base + ((one * 40503 + two * 30011 >> 3) & _SLOTS - 1), base + (one * 40503 & _SLOTS - 1)]
+        held = [guess[o][slot[o]] for o in (0, 1)]
+        g, c = [v & 0xFFFF for v in held], [v >> 16 for v in held]
         agree = g[0] == g[1]
-        context = [c[0] * 2 + agree, c[1] * 2 + agree, history]
-        part = [chance[i][every, context[i]] for i in range(3)]
-        mixed = sum(weight[i][:, None] * part[i] for i in range(3)) // weight.sum(0)[:, None]
-        mixed = np.maximum(mixed, 64)
-        mixed[:, 2] = np.maximum(64, (1 << 16) - mixed[:, 0] - mixed[:, 1])
-        high = np.cumsum(mixed, axis=1)
-        total = high[:, 2]
+        at = [sixteen + (c[0] * 2 + agree), sixteen + (c[1] * 2 + agree), sixteen + history]
+        both = [chance[i][at[i]] for i in range(3)]
+        part = [[(v & 0xFFFF).astype(np.int32), (v >> 16).astype(np.int32)] for v in both]
+        total = weight[0] + weight[1] + weight[2]
+        hit = [np.clip((weight[0] * part[0][o] + weight[1] * part[1][o] + weight[2] * part[2][o]) // total, 64, 32000) for o in (0, 1)]
         if ids is None:
-            outcome = (coder.target(every, total)[:, None] >= high[:, :2]).sum(1)
+            target = coder.target(every, 16)
+            won = [target < hit[0]]
+            won.append(~won[0] & (target < hit[0] + hit[1]))
         else:
-            x = ids[:, k]
-            outcome = np.where(x == g[0], 0, np.where(x == g[1], 1, 2))
-        size = mixed[every, outcome]
-        coder.step(every, high[every, outcome] - size, size, total)
-        rest = np.flatnonzero(outcome == 2)
+            x = ids[k]
+            won = [x == g[0]]
+            won.append(~won[0] & (x == g[1]))
+        rest = 65536 - hit[0] - hit[1]
+        size = np.where(won[0], hit[0], np.where(won[1], hit[1], rest))
+        coder.step(every, np.where(won[0], 0, hit[0] + np.where(won[1], 0, hit[1])), size, 16)
+        lost = np.flatnonzero(~(won[0] | won[1]))
         if ids is None:
-            x = np.where(outcome == 0, g[0], g[1])
-        if len(rest):
-            digits, context4 = [], np.zeros(len(rest), np.int64)
-            for level, table in enumerate(counts):
-                known = None if ids is None else ids[rest, k] >> (12 - 4 * level) & 15
-                d = _digits(coder, table, rest, context4 % table.shape[1], known)
-                digits.append(d)
-                context4 = context4 * 16 + d
-            if ids is None:
-                x[rest] = context4
-        out[:, k] = x
+            x = np.where(won[0], g[0], g[1]).astype(np.int64)
+            if len(lost):
+                x[lost] = order0.name_at[coder.target(lost, _TABLE)]
+        if len(lost):
+            name = x[lost]
+            coder.step(lost, order0.low_of[name], order0.size_of[name], _TABLE)
+        out[k] = x
         for i in range(3):
-            p = part[i]
-            won = p[every, outcome]
-            weight[i] = np.clip(weight[i] + ((won - size) >> 3), 1 << 8, 1 << 16)
-            p -= p >> 5
-            p[every, outcome] += 1 << 11
-            chance[i][every, context[i]] = p
+            own = np.where(won[0], part[i][0], np.where(won[1], part[i][1], 65536 - part[i][0] - part[i][1]))
+            weight[i] += own - size >> 9
+            p = [v - (v >> 5) + w * np.int32(2000) for v, w in zip(part[i], won, strict=True)]
+            chance[i][at[i]] = p[0] | p[1].astype(np.uint32) << 16
+        np.clip(weight, 4, 255, out=weight)
         for o in (0, 1):
-            right = g[o] == x
-            sure[o][every, slot[o]] = np.where(right, np.minimum(c[o] + 1, 7), 0)
-            guess[o][every, slot[o]] = x
-        history = (history * 3 + outcome) % 9
+            guess[o][slot[o]] = x + (np.minimum(c[o] + 1, 7) * (g[o] == x) << 16)
+        history = (history * 3 + 2 - 2 * won[0] - won[1]) % 9
         one, two = x, one
     return out
 
 
 def shape(n: int) -> tuple[int, int]:
-    """Blocks and ids in each, for n ids; the last block is padded with zeros."""
+    """Blocks and ids in each, for n ids; the last block is padded with its last id."""
     lanes = -(-n // BLOCK)
     return lanes, -(-n // lanes) if lanes else 0
 
 
-def encode(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
-    """Payload and crc32 (of its ids as little-endian 32-bit integers) of each block; ids are below 2**16."""
+def encode(ids: np.ndarray) -> tuple[bytes, list[bytes], list[int]]:
+    """The order-0 table, and payload and crc32 (of its ids as little-endian 32-bit integers) of
+    each block; ids are below 2**16."""
     lanes, steps = shape(len(ids))
     if not lanes:
-        return [], []
+        return b"", [], []
     if ids.min() < 0 or ids.max() >= 1 << 16:
         raise ValueError("ids must lie in 0 .. 65535")
-    table = np.zeros(lanes * steps, np.int64)
+    table = np.full(lanes * steps, ids[-1], np.int64)
     table[: len(ids)] = ids
-    table = table.reshape(lanes, steps)
+    order0, table = Order0.of(table), table.reshape(lanes, steps)
     coder = Coder(lanes)
-    _run(lanes, steps, coder, table)
-    return coder.payloads(), [zlib.crc32(row.astype("<u4").tobytes()) for row in table]
+    _run(lanes, steps, coder, order0, np.ascontiguousarray(table.T))
+    return order0.written(), coder.payloads(), [zlib.crc32(row.astype("<u4").tobytes()) for row in table]
 
 
-def decode(n: int, payloads: list[bytes], checksums: list[int]) -> np.ndarray:
+def decode(n: int, table: bytes, payloads: list[bytes], checksums: list[int]) -> np.ndarray:
     """The n ids of encode(); a block whose ids don't have its checksum raises ValueError."""
     lanes, steps = shape(n)
     if len(payloads) != lanes or len(checksums) != lanes:
         raise ValueError(f"{n} ids make {lanes} blocks; {len(payloads)} are there")
     if not lanes:
         return np.zeros(0, np.int64)
-    table = _run(lanes, steps, Coder(lanes, payloads), None)
-    for k, row in enumerate(table):
+    found = np.ascontiguousarray(_run(lanes, steps, Coder(lanes, payloads), Order0.read(table), None).T)
+    for k, row in enumerate(found):
         if zlib.crc32(row.astype("<u4").tobytes()) != checksums[k]:
             raise ValueError(f"block {k} is damaged")
-    return table.ravel()[:n]
+    return found.ravel()[:n]

@@ -2,8 +2,8 @@
 
 A file is a Parquet table of segments. A segment holds whole documents, about SEGMENT_IDS ids,
 as one stream cut into blocks that range_coder codes independently: (part, seg) gives its
-place in the order, doc_ids, lengths and ends describe its documents, payloads and checksums
-its blocks. A damaged block is found by its checksum, and only its segment is lost.
+place in the order, doc_ids and lengths describe its documents, model the chances of its ids,
+payloads and checksums its blocks. A damaged block is found by its checksum, and only its segment is lost.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from loomstone.llm import range_coder
 from loomstone.llm.prefix import prefix_sums
-from loomstone.llm.runtime import shared_dir
+from loomstone.llm.runtime import shared_dir, small_batches
 
-SEGMENT_IDS, END = 2_000_000, 2
+SEGMENT_IDS, END = 4_000_000, 2
 _CACHED = 1_000_000
 #: Texts of these characters are in NFC, lower-case as the tokenizer does, and split as below.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
@@ -86,11 +86,12 @@ def token_ids(text: Column, path: str | None = None, by_word: bool | None = None
     return run(text)
 
 
-_SEGMENT = "part int, seg int, n long, doc_ids binary, no_id binary, lengths binary, payloads array<binary>, checksums array<long>"
+_SEGMENT = "part int, seg int, n long, doc_ids binary, no_id binary, lengths binary, model binary, payloads array<binary>, checksums array<long>"
 
 
 def write(docs: DataFrame, folder: str) -> None:
     """Writes (doc_id, text, ids) in ascending doc_id order, null ids first, ties by text; END closes each document."""
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[np.ndarray]]]:
@@ -112,12 +113,12 @@ def write(docs: DataFrame, folder: str) -> None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (part, names, held) in enumerate(segments(batches)):
             ids = np.concatenate(held)
-            payloads, checksums = range_coder.encode(ids)
+            model, payloads, checksums = range_coder.encode(ids)
             row = {
                 "part": part, "seg": k, "n": len(ids), "doc_ids": np.array([x or 0 for x in names], np.int64).tobytes(), "no_id": np.array([x is None for x in names]).tobytes(),
-                "lengths": np.array([len(x) for x in held], np.int64).tobytes(), "payloads": payloads, "checksums": checksums,
+                "lengths": np.array([len(x) for x in held], np.int64).tobytes(), "model": model, "payloads": payloads, "checksums": checksums,
             }
-            schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.binary()), ("no_id", pa.binary()), ("lengths", pa.binary()), ("payloads", pa.list_(pa.binary())), ("checksums", pa.list_(pa.int64()))])
+            schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.binary()), ("no_id", pa.binary()), ("lengths", pa.binary()), ("model", pa.binary()), ("payloads", pa.list_(pa.binary())), ("checksums", pa.list_(pa.int64()))])
             yield pa.RecordBatch.from_pylist([row], schema)
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
@@ -131,7 +132,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = range_coder.decode(row["n"], row["payloads"], row["checksums"]).astype(np.int32)
+                ids = range_coder.decode(row["n"], row["model"], row["payloads"], row["checksums"]).astype(np.int32)
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
                 lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), pa.array(ids)).cast(pa.list_(pa.int32()))
