@@ -72,3 +72,15 @@ def q_trailers(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", once.alias("c"))
     docs = docs.select("doc_id", append_trailer(F.col("c"), F.lit("again").cast("binary"), "LOOMTRLR").alias("c")).withColumn("s", split_trailer(F.col("c"), "LOOMTRLR"))
     return docs.select("doc_id", F.octet_length("c").cast("long").alias("sealed"), F.octet_length("s.body").cast("long").alias("body"), F.decode("s.trailer", "UTF-8").alias("trailer"))
+
+
+@query("SELECT page_id, sha256(html) AS sha256, length(html) AS chars, true AS same FROM pages")
+def q_reorder_restore(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks of all pages sorted by similarity, then put back by page and number: each page is whole again."""
+    parts = table(spark, folder, "pages").select("page_id", "html", F.posexplode(F.split("html", "<p")).alias("no", "b"))
+    blocks = parts.select("page_id", "no", "b", structural_key_hex("b").alias("struct_key"), simhash_hex("b").alias("simhash")).repartitionByRange("struct_key", "simhash").sortWithinPartitions("struct_key", "simhash", "page_id", "no")
+    back = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("no", "b"))).alias("p"), F.count_distinct("no").alias("n"))
+    text = F.array_join(F.transform("p", lambda x: x["b"]), "<p")
+    restored = back.select("page_id", text.alias("text"), (F.col("n") == F.size("p")).alias("whole"))
+    joined = restored.join(table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    return joined.select("page_id", F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("long").alias("chars"), ((F.col("text") == F.col("html")) & F.col("whole")).alias("same"))

@@ -100,3 +100,24 @@ SELECT c_custkey, zz, greatest(1, CAST(ceil(log2(zz + 1) / 7) AS BIGINT)) AS byt
 def q_zigzag_bytes(spark: SparkSession, folder: str) -> DataFrame:
     z = zigzag(F.round(F.col("c_acctbal") * 100).cast("long"))
     return table(spark, folder, "customer").select("c_custkey", z.alias("zz"), uvarint_length(z).alias("bytes"))
+
+
+@query("SELECT user_id, event_id, event_type FROM events")
+def q_runs_expanded(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs packed to one row with their ids' deltas, and expanded again."""
+    packed = runs(table(spark, folder, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", least=1)
+    ids = table(spark, folder, "events").select("user_id", "event_id")
+    both = packed.select("user_id", F.col("first").alias("event_id"), "event_type").unionByName(ids.withColumn("event_type", F.lit(None).cast("string")))
+    # Where a run begins its row sorts before the plain one, so the last type seen is the run's.
+    order = Window.partitionBy("user_id").orderBy("event_id", F.col("event_type").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("own", F.last("event_type", ignorenulls=True).over(order)).where(F.col("event_type").isNull())
+    return filled.select("user_id", "event_id", F.col("own").alias("event_type"))
+
+
+@query("""WITH w AS (SELECT o_orderkey, unnest(range(1, 6)) AS back FROM orders)
+SELECT o_orderkey, back, greatest(0, o_orderkey - back * 64) AS lo, o_orderkey - (back - 1) * 64 AS hi FROM w WHERE o_orderkey - (back - 1) * 64 > 0 AND back <> 2""")
+def q_probe_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of 64 that walk back from each position, but for the second, which is the one trained on."""
+    ends = table(spark, folder, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(5).cast("long"))).alias("back"))
+    hi = F.col("o_orderkey") - (F.col("back") - 1) * 64
+    return ends.withColumn("hi", hi).where("hi > 0 AND back <> 2").select("o_orderkey", "back", F.greatest(F.lit(0).cast("long"), F.col("hi") - 64).alias("lo"), "hi")

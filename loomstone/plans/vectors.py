@@ -99,3 +99,16 @@ def q_smear(spark: SparkSession, folder: str) -> DataFrame:
     before = F.lag("x").over(Window.partitionBy("label").orderBy("vec_id"))
     mixed = F.when(before.isNull(), F.col("x")).otherwise(F.zip_with("x", before, lambda a, b: a + 0.25 * b))
     return _vectors(spark, folder).withColumn("m", mixed).select("vec_id", F.round(F.aggregate("m", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+
+
+@query(f"""WITH f AS (SELECT vec_id, x, list(x) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS k FROM ({_X})),
+e AS (SELECT vec_id, k, list_transform(k, lambda v: exp(list_dot_product(x, v))) AS w FROM f)
+SELECT vec_id, round(list_sum(list_transform(list_zip(k, w), lambda p: list_sum(p[1]) * p[2])) / list_sum(w), 6) AS total FROM e""")
+def q_local_attention(spark: SparkSession, folder: str) -> DataFrame:
+    """The softmax-weighted mean of a vector and the label's three before it, by their products with it (sum of
+    components). The frame is bounded, so a label's rows are streamed, not paired."""
+    frame = Window.partitionBy("label").orderBy("vec_id").rowsBetween(-3, 0)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    f = _vectors(spark, folder).withColumn("k", F.collect_list("x").over(frame)).withColumn("w", F.transform("k", lambda v: F.exp(dot(F.col("x"), v))))
+    return f.select("vec_id", F.round(add(F.zip_with("k", "w", lambda v, w: add(v) * w)) / add(F.col("w")), 6).alias("total"))
