@@ -110,7 +110,7 @@ class Order0:
 
 def _run(lanes: int, steps: int, coder: Coder, order0: Order0, ids: np.ndarray | None) -> np.ndarray:
     """ids: (steps, lanes) to encode, or None to read them."""
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.uint16)
     every = np.arange(lanes)
     base, sixteen = every * _SLOTS, every * 16
     # What followed a context, of order 2 and of order 1, and above its 16 bits how often in a row.
@@ -134,7 +134,7 @@ def _run(lanes: int, steps: int, coder: Coder, order0: Order0, ids: np.ndarray |
             won = [target < hit[0]]
             won.append(~won[0] & (target < hit[0] + hit[1]))
         else:
-            x = ids[k]
+            x = ids[k].astype(np.int64)
             won = [x == g[0]]
             won.append(~won[0] & (x == g[1]))
         rest = 65536 - hit[0] - hit[1]
@@ -176,7 +176,7 @@ def encode(ids: np.ndarray) -> tuple[bytes, list[bytes], list[int]]:
         return b"", [], []
     if ids.min() < 0 or ids.max() >= 1 << 16:
         raise ValueError("ids must lie in 0 .. 65535")
-    table = np.full(lanes * steps, ids[-1], np.int64)
+    table = np.full(lanes * steps, ids[-1], np.uint16)
     table[: len(ids)] = ids
     order0, table = Order0.of(table), table.reshape(lanes, steps)
     coder = Coder(lanes)
@@ -195,4 +195,4 @@ def decode(n: int, table: bytes, payloads: list[bytes], checksums: list[int]) ->
     for k, row in enumerate(found):
         if zlib.crc32(row.astype("<u4").tobytes()) != checksums[k]:
             raise ValueError(f"block {k} is damaged")
-    return found.ravel()[:n]
+    return found.ravel()[:n].astype(np.int64)

@@ -24,8 +24,9 @@ from loomstone.llm import range_coder
 from loomstone.llm.prefix import prefix_sums
 from loomstone.llm.runtime import shared_dir, small_batches
 
-SEGMENT_IDS, END = 4_000_000, 2
-_CACHED = 1_000_000
+SEGMENT_IDS, END = 3_000_000, 2
+#: Words whose ids a worker keeps at most, before it starts anew: about 75 MB.
+_CACHED = 300_000
 #: Texts of these characters are in NFC, lower-case as the tokenizer does, and split as below.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
