@@ -55,4 +55,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_ngram_jaccard_join": jaccard.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL}
