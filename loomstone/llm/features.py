@@ -8,7 +8,7 @@ import numpy as np
 
 from loomstone.llm.hashing import U, blocks, span_hashes
 
-_BLOCK_CHARS = 1_000_000
+_BLOCK_CHARS = 250_000
 _SPACE = 32
 
 

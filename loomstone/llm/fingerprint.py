@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstone.llm.hashing import U, blocks, mix, span_hashes
-from loomstone.llm.runtime import text_bytes
+from loomstone.llm.runtime import small_batches, text_bytes
 
 MIN, NORMAL, MAX, STRICT_BITS, LOOSE_BITS = 16, 32, 128, 6, 4
 _GEAR = (mix(np.arange(256, dtype=U)) >> U(48)).astype(np.uint16)
@@ -146,6 +146,8 @@ def compare(docs: DataFrame) -> DataFrame:
     """
     import hashlib
 
+    small_batches(docs.sparkSession)
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, str, str]]]:
         waits = None  # the document whose follower is to come
         for batch in batches:

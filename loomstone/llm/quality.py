@@ -1,8 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
 Learned vectors of hashed words, word repeats and character n-grams are averaged over a document and go
-through a linear softmax. Trained by stochastic gradient descent in numpy, in one task, on a
-bounded sample of labelled documents; scored in parallel over whole texts.
+through a linear softmax. Features of a bounded sample of labelled
+documents are taken in parallel and fitted by stochastic gradient descent in numpy, in one task; scored in parallel over whole texts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.features import hashed_features
 from loomstone.llm.labelled import held_out, sample
+from loomstone.llm.runtime import small_batches
 
 #: Labelled documents that training reads at most.
 MAX_TRAIN_ROWS = 4000
@@ -72,20 +73,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     labelled rows, or with one class only, scores follow the share of label 1 (0.5 if there are none).
     """
 
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bags = _bags(list(pdf["text"]))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "names": [n.tobytes() for n, _ in bags], "shares": [s.tobytes() for _, s in bags]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [x for pdf in batches for x in zip(pdf["doc_id"], _bags(list(pdf["text"])), pdf["y"], strict=True)]
-        rows.sort(key=lambda x: (x[0], x[2], len(x[1][0])))
-        y = np.array([x[2] for x in rows], np.int64)
+        rows = sorted((x for pdf in batches for x in zip(pdf["doc_id"], pdf["y"], pdf["names"], pdf["shares"], strict=True)), key=lambda x: x[:3])
+        y = np.array([x[1] for x in rows], np.int64)
         model = np.zeros((1 << BITS) + 1, np.float32)
         if len(set(y)) == 2:
-            vectors, weights = fit([x[1] for x in rows], y)
+            vectors, weights = fit([(np.frombuffer(x[2], np.int32), np.frombuffer(x[3], np.float32)) for x in rows], y)
             model[:-1] = vectors @ (weights[:DIM, 1] - weights[:DIM, 0])
             model[-1] = weights[DIM, 1] - weights[DIM, 0]
         elif len(y):
             model[-1] = 4.0 * (2 * y[0] - 1)
         yield pd.DataFrame({"model": [model.tobytes()]})
 
-    found = sample(docs, labels, label, most).repartition(1).mapInPandas(run, "model binary").collect()
+    small_batches(docs.sparkSession)
+    rows = sample(docs, labels, label, most).mapInPandas(features, "doc_id long, y int, names binary, shares binary")
+    found = rows.repartition(1).mapInPandas(run, "model binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 

@@ -32,9 +32,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Sets Arrow batches of this session to 8 MB at most, so that a Python worker's memory follows from
+    """Sets Arrow batches of this session to 4 MB at most, so that a Python worker's memory follows from
     that bound and not from the number of rows; a longer text is a batch of its own."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

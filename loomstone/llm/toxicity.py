@@ -8,6 +8,7 @@ that the mention of a group alone doesn't move it. Weights are sparse (FTRL-prox
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomstone.llm.features import hashed_features
 from loomstone.llm.labelled import held_out, sample
+from loomstone.llm.runtime import small_batches
 
 #: Labelled documents that training reads at most.
 MAX_TRAIN_ROWS = 12000
@@ -111,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pairs = [swapped(t, int(d) * 2654435761 % 2**31) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True)]
+            pairs = [swapped(t, zlib.crc32(t.encode())) for t in pdf["text"]]
             out = [_present(x) for x in (list(pdf["text"]), [a for a, _ in pairs], [b for _, b in pairs])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], **{k: [f.tobytes() for f in x] for k, x in zip("fab", out, strict=True)}})
 
@@ -125,6 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             model[-1] = 4.0 * (2 * y[0] - 1)
         yield pd.DataFrame({"model": [model.tobytes()]})
 
+    small_batches(docs.sparkSession)
     rows = sample(docs, labels, label, most).mapInPandas(features, "doc_id long, y int, f binary, a binary, b binary")
     found = rows.repartition(1).mapInPandas(run, "model binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
