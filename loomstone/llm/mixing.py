@@ -56,17 +56,17 @@ def _slots(targets: DataFrame, seed: int) -> DataFrame:
     to the sources that drew too few, so that totals are met exactly.
     """
     bounds = targets.where("n_slots > 0").withColumn("high", F.sum("n_slots").over(Window.orderBy(*KEY))).withColumn("low", F.col("high") - F.col("n_slots"))
-    # The sources' intervals, as one sorted array: a source is found by its index in it.
-    table = bounds.groupBy().agg(F.array_sort(F.collect_list(F.struct("high", *KEY))).alias("sources"), F.max("high").alias("slots"))
-    shards = table.select("sources", "slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SHARD_SLOTS))).alias("shard"))
+    table = bounds.groupBy().agg(F.max("high").alias("slots"))
+    shards = table.select("slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SHARD_SLOTS))).alias("shard"))
     place = F.explode(F.sequence(F.lit(0), F.least(F.lit(SHARD_SLOTS), F.col("slots") - F.col("shard") * SHARD_SLOTS) - 1))
     drawn = shards.select("shard", "slots", place.alias("place")).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "shard", "place"), F.col("slots")))
-    # Draws per interval of equal width, then only those intervals' sources are compared.
+    # Draws and sources meet by intervals of equal width. Spark takes what explode() makes for small and would
+    # broadcast the draws, which grow with the data; so the join is told to shuffle.
     width = F.greatest(F.lit(1), F.floor(F.col("slots") / 256))
     near = bounds.crossJoin(F.broadcast(table.select("slots"))).withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
     counts = (
         drawn.withColumn("bin", F.floor(F.col("at") / width))
-        .join(near.select("bin", "low", "high", "n_slots", *KEY), "bin")
+        .join(near.select("bin", "low", "high", "n_slots", *KEY).hint("shuffle_hash"), "bin")
         .where("at >= low and at < high")
         .groupBy("shard", *KEY)
         .agg(F.count("*").alias("c"), F.first("n_slots").alias("n_slots"))
@@ -79,7 +79,7 @@ def _slots(targets: DataFrame, seed: int) -> DataFrame:
     short = targets.join(counts.groupBy(*KEY).agg(F.sum("c").alias("drawn")), KEY, "left").withColumn("n", F.col("n_slots") - F.coalesce("drawn", F.lit(0))).where("n > 0")
     short = short.withColumn("to", F.sum("n").over(Window.orderBy(*KEY)))
     short = short.select(*KEY, "n_slots", "n", "to", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("rank"))
-    moved = over.join(short, "rank").select("shard", *KEY, (F.col("n_slots") - F.col("to") + F.col("rank")).alias("slot"))
+    moved = over.join(short.hint("shuffle_hash"), "rank").select("shard", *KEY, (F.col("n_slots") - F.col("to") + F.col("rank")).alias("slot"))
     return own.unionByName(moved)
 
 
