@@ -23,14 +23,18 @@ BROADCAST_ROWS = 500_000
 _SPACES = " \t\n\x0b\x0c\r"
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased, in one pass over the whole text."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A-Z lower-cased."""
-    return F.translate(F.btrim(line, F.lit(_SPACES)), string.ascii_uppercase, string.ascii_lowercase)
+    return lowered(F.btrim(line, F.lit(_SPACES)))
 
 
-def line_hash(line: Column) -> Column:
-    """128 bits of the line's key, as a struct of two longs."""
-    key = line_key(line)
+def key_hash(key: Column) -> Column:
+    """128 bits of a line's key, as a struct of two longs."""
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"))
 
 
@@ -40,8 +44,9 @@ def lines_of(text: Column) -> Column:
 
 def document_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(id, h1, h2): the distinct keys of at least min_chars code points of each document."""
-    long = F.filter(lines_of(F.col("text")), lambda x: F.char_length(line_key(x)) >= min_chars)
-    return docs.select("id", F.explode(F.array_distinct(F.transform(long, line_hash))).alias("h")).select("id", "h.h1", "h.h2")
+    keys = F.transform(lines_of(lowered(F.col("text"))), lambda x: F.btrim(x, F.lit(_SPACES)))
+    long = F.filter(keys, lambda x: F.char_length(x) >= min_chars)
+    return docs.select("id", F.explode(F.array_distinct(F.transform(long, key_hash))).alias("h")).select("id", "h.h1", "h.h2")
 
 
 class LineRuns:
@@ -123,7 +128,7 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20,
     hits = document_lines(rows.select("id", "text"), min_chars).join(side, HASH).where("id <> keeper")
     drops = hits.groupBy("id").agg(F.collect_set(F.struct(*HASH)).alias("_drops"))
     lines = lines_of(F.col("text"))
-    kept = F.filter(lines, lambda x: ~(F.array_contains("_drops", line_hash(x)) & (F.char_length(line_key(x)) >= min_chars)))
+    kept = F.filter(lines, lambda x: ~(F.array_contains("_drops", key_hash(line_key(x))) & (F.char_length(line_key(x)) >= min_chars)))
     out = rows.join(drops, "id", "left").withColumn("_kept", F.when(F.col("_drops").isNotNull(), kept))
     n = F.size(lines).cast("long")
     text = F.coalesce(F.array_join("_kept", "\n"), "text", F.lit(""))
