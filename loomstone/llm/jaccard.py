@@ -190,12 +190,18 @@ def _block_links(percent: int):
             link(pivot, part)
         done = np.array([root(i) == root(pivot[0]) for i in every])
         rest = every[~done]
-        for a in np.array_split(rest, -(-len(rest) // 256)) if len(rest) else []:
-            other = every[side != side[a[0]]] if len(set(side[a])) == 1 and len(set(side)) > 1 else every
-            # Size bound: 100 * smaller >= percent * larger, or the pair is dropped unmultiplied.
-            other = other[(100 * n[other] >= percent * n[a].min()) & (percent * n[other] <= 100 * n[a].max())]
-            for part in np.array_split(other, -(-len(other) // ROW_BLOCK)) if len(other) else []:
-                link(a, part)
+        rest = rest[np.argsort(n[rest], kind="stable")]
+        sides, met = sorted(set(side[side >= 0])), np.zeros(len(node), bool)
+        for own in sides:
+            # Two row blocks are multiplied with each other, one with itself; the pivot has met all.
+            across = (side >= 0) & ((side != own) if len(sides) > 1 else True)
+            mine = rest[side[rest] == own]
+            for a in np.array_split(mine, -(-len(mine) // 256)) if len(mine) else []:
+                # Size bound: 100 * smaller >= percent * larger, or the pair is dropped unmultiplied.
+                other = every[across & ~met & (100 * n >= percent * n[a].min()) & (percent * n <= 100 * n[a].max())]
+                for part in np.array_split(other, -(-len(other) // ROW_BLOCK)) if len(other) else []:
+                    link(a, part)
+                met[a] = True
         return pd.DataFrame(found, columns=["a", "b"]).astype({"a": "int64", "b": "int64"})
 
     return run

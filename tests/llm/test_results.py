@@ -80,6 +80,26 @@ def test_jaccard_join_of_a_large_group(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in found} == expected
 
 
+def test_jaccard_join_of_members_not_linked_with_the_pivot(spark, monkeypatch):
+    """Near copies share a body with P, whose further words many documents hold: P is their pivot, and linked with none."""
+    draw = random.Random(4)
+    word = lambda k: [f"w{draw.randrange(10**9)}" for _ in range(k)]
+    passage, made = word(34), {}
+    for f in range(6):
+        body = word(90)
+        for i in range(2 + 3 * f):
+            made[100 * f + i] = " ".join(body + word(14))
+        made[100 * f + 99] = " ".join(body + passage)
+    made |= {1000 + i: " ".join(passage + word(200)) for i in range(8)}
+    sets = {i: shingles(t) for i, t in made.items()}
+    expected = near(sets)
+    assert expected[1] == 0 and expected[99] == 99
+    for block in (3, 1024):
+        monkeypatch.setattr(jaccard, "ROW_BLOCK", block)
+        found = jaccard.near_duplicates(spark.createDataFrame(list(made.items()), "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in found} == expected
+
+
 def test_shingle_sizes():
     draw = random.Random(1)
     made = ["".join(draw.choice("aB \t\n\x0b.é") for _ in range(draw.randrange(60))) for _ in range(300)]
