@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,21 +29,26 @@ def batch_segments(events: DataFrame, size: int = SIZE) -> DataFrame:
 
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State: number of segments closed, and the open segment's ids and cents. A micro-batch's rows
-    come in no order, so they are sorted; ids at or below the last closed one are late and ignored."""
-    done, last, ids, cents = state.get if state.exists else (0, -1, [], [])
-    rows = sorted([*zip(ids, cents, strict=True), *((i, c) for pdf in batches for i, c in zip(pdf["event_id"], pdf["cents"], strict=True) if i > last)])
-    out = []
-    while len(rows) >= SIZE:
-        head, rows = rows[:SIZE], rows[SIZE:]
-        last = int(head[-1][0])
-        out.append((key[0], done, SIZE, int(sum(c for _, c in head)), last))
-        done += 1
-    state.update((done, last, [int(i) for i, _ in rows], [int(c) for _, c in rows]))
-    yield pd.DataFrame(out, columns=["user_id", "seg", "n", "cents", "last"])
+    come in no order, so they are sorted; an id below the last closed one, or none, is an error."""
+    done, last, ids, cents = state.get if state.exists else (0, None, [], [])
+    new = pd.concat(list(batches), ignore_index=True)[["event_id", "cents"]]
+    if new["event_id"].isna().any():
+        raise ValueError(f"user {key[0]}: an event without an event_id has no place in the order")
+    if last is not None and (new["event_id"] < last).any():
+        raise ValueError(f"user {key[0]}: event {new['event_id'].min()} came after the segment that ends with {last} was closed")
+    ids = np.concatenate([np.array(ids, np.int64), new["event_id"].to_numpy(np.int64)])
+    cents = pd.concat([pd.Series(cents, dtype="Int64"), new["cents"].astype("Int64")], ignore_index=True)
+    order = np.argsort(ids, kind="stable")
+    n = len(ids) // SIZE
+    full, rest = order[: n * SIZE].reshape(n, SIZE), order[n * SIZE :]
+    ends = ids[full[:, -1]]
+    sums = pd.Series(cents.fillna(0).to_numpy(np.int64)[full].sum(axis=1), dtype="Int64").where(cents.notna().to_numpy()[full].any(axis=1))
+    state.update((done + n, int(ends[-1]) if n else last, ids[rest].tolist(), [None if c is pd.NA else int(c) for c in cents.iloc[rest]]))
+    yield pd.DataFrame({"user_id": [key[0]] * n, "seg": np.arange(done, done + n), "n": SIZE, "cents": sums, "last": ends})
 
 
 def segment_stream(events: DataFrame) -> DataFrame:
-    """events: a streaming DataFrame with user_id, event_id and value."""
+    """events: a streaming DataFrame with user_id, event_id and value, whose micro-batches follow each other in event_id order."""
     keyed = events.select("user_id", "event_id", _cents().alias("cents")).groupBy("user_id")
     return keyed.applyInPandasWithState(_update, OUT, "done long, last long, ids array<long>, cents array<long>", "append", GroupStateTimeout.NoTimeout)
 
@@ -52,8 +58,9 @@ def stream_segments(spark: SparkSession, folder: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
     at = f"{base.rstrip('/')}/segments-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    # A stream reads folders: the glob takes the one table, be it a file or a folder of files.
-    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4).parquet(f"{folder}/events.parquet*")
+    # A stream reads folders: the glob takes the one table, be it a file or a folder of files. These are in no order
+    # of event_id, so there is no limit of files a trigger: all that the table holds is one micro-batch.
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{folder}/events.parquet*")
     query = segment_stream(events).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{at}/rows")

@@ -1,7 +1,10 @@
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomstone.plans import catalogue
+from loomstone.streaming import segments
 
 from compare import in_duckdb, rows
 
@@ -27,3 +30,29 @@ def test_coded_segments_round_trip(spark, folder):
     found = catalogue.QUERIES["q_range_coder"](spark, folder).toPandas()
     assert found["ok"].all()
     assert found["payload"].sum() < found["bytes"].sum()
+
+
+def test_stream_of_many_unordered_files(spark, folder, tmp_path):
+    """More part files than a few, written from the last event_id to the first, some ids negative, some values null."""
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("event_id", F.col("event_id") - 100)
+    events = events.withColumn("value", F.when((F.col("user_id") % 3 > 0) & (F.col("event_id") % 7 > 0), F.col("value")))
+    events.repartitionByRange(12, F.desc("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    found = catalogue.QUERIES["q_segments_stream"](spark, str(tmp_path)).toPandas()
+    expected = catalogue.QUERIES["q_segments"](spark, str(tmp_path)).toPandas()
+    assert len(expected)
+    assert rows(found, sorted(expected.columns)) == rows(expected, sorted(expected.columns))
+
+
+def test_stream_refuses_late_events():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+    frame = lambda ids: iter([pd.DataFrame({"event_id": ids, "cents": [1] * len(ids)})])
+    made = pd.concat(segments._update((7,), frame([*range(20, 3, -1), 40]), state))
+    assert made.values.tolist() == [[7, 0, 16, 16, 19]]
+    with pytest.raises(ValueError, match="event 3 came after"):
+        list(segments._update((7,), frame([3, 50]), state))
