@@ -96,7 +96,7 @@ def _plan(docs: DataFrame, seed: int, carry: Sequence[Column] = ()) -> tuple[Dat
     placed = materialise(prefix_sums(rows, KEY, [F.col("doc_id").asc_nulls_last(), F.col("text_hash")], {"before": F.col("size")}, "mix-rows"), "mix-placed")
     targets = source_targets(placed.groupBy(*KEY).agg(F.sum("size").alias("source_size")))
     targets = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK_WORDS))
-    targets = targets.withColumn("n_slots", F.coalesce(F.least(F.round(F.col("target") / F.col("source_size") * F.col("n_blocks")).cast("long"), 2 * F.col("n_blocks")), F.lit(0)))
+    targets = targets.withColumn("n_slots", F.coalesce(F.least(F.round(F.try_divide("target", "source_size") * F.col("n_blocks")).cast("long"), 2 * F.col("n_blocks")), F.lit(0)))
     targets = materialise(targets, "mix-targets")
     slots = _slots(targets.select(*KEY, "n_slots"), seed).join(targets.select(*KEY, "n_blocks"), KEY)
     block = permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("no_source"), F.col("source_key"))
@@ -117,8 +117,8 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
     size: words of the text (null or empty: 0). Nulls in source are a source of their own, the
-    last. taken counts words of the row in the mix, repeats included; a block is used twice at
-    most, so taken is at most twice the size. Everything follows from the rows and the seed,
+    last. A source without words has target 0. taken counts words of the row in the mix, repeats
+    included; a block is used twice at most, so taken is at most twice the size. Everything follows from the rows and the seed,
     so reruns agree. Rows that repeat a doc_id are rows of their own; an empty table gives none.
     """
     placed, targets, uses = _plan(docs, seed)

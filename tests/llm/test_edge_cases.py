@@ -148,6 +148,20 @@ def test_mixing(docs):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mixing_source_without_words(spark):
+    kept = [(i, "one two three", "a") for i in range(300)]
+    none = [(1000, None, "b"), (1001, "", "b"), (1002, " \t\n", "b"), (1003, None, None)]
+    schema = "doc_id long, text string, source string"
+    docs = spark.createDataFrame(kept + none, schema)
+    out = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    assert len(out) == len(kept + none)
+    assert all((out[i].size, out[i].source_size, out[i].target, out[i].taken) == (0, 0, 0, 0) for i, *_ in none)
+    assert abs(sum(out[i].taken for i, *_ in kept) - 1.5 * 900) <= mixing.BLOCK_WORDS
+    assert {r.source for r in mixing.mixed_documents(docs).collect()} == {"a"}
+    empty = spark.createDataFrame(none, schema)
+    assert [r.taken for r in mixing.mix(empty).collect()] == [0] * 4 and mixing.mixed_documents(empty).count() == 0
+
+
 def test_neighbours(spark):
     same = [1.0, 2.0, 3.0]
     rows = [(i, same) for i in range(0, 200, 10)] + [(1, None), (None, same), (100000, [0.0, 0.0, 0.0]), (50050, [1.0, None, 2.0]), (3, [float("nan"), 1.0, 1.0]), (4, [float("inf"), 1.0, 1.0]), (5, [1.0, 0.0]), (7, [-1.0, 0.5, 0.25]), (7, [-1.0, 0.5, 0.25]), (8, [])]
