@@ -11,6 +11,7 @@ Index and queries are cut into blocks, and every pair of blocks is one task.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -122,19 +123,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): of each query its k nearest other rows by cosine.
 
     vectors: vec_id, embedding; further columns are ignored. Ties go to the smaller vec_id. Rows
-    with a null vec_id or an unusable vector take no part, nor do vectors of another length than
-    the most frequent one (the longest of such). A row given twice counts once. Of equal vectors
+    with a null vec_id or an unusable vector take no part. Vectors of each length are fitted and
+    searched by themselves, one length after the other. A row given twice counts once. Of equal vectors
     the k + 1 smallest vec_ids are searched, as no others can be among a query's k nearest; equal
     queries are searched once. Without usable rows there is no result.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("is_query"))
-    length = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if length is None:
-        return spark.createDataFrame([], schema)
-    rows = materialise(rows.where(F.size("embedding") == length[0]).distinct(), "vectors")
+    rows = materialise(rows.distinct(), "vectors")
+    lengths = rows.where("is_query").select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, [_nearest_of_length(rows.where(F.size("embedding") == r.d), k) for r in lengths])
+
+
+def _nearest_of_length(rows: DataFrame, k: int) -> DataFrame:
+    """nearest() for distinct usable rows (vec_id, embedding, is_query) of one length, a query among them."""
+    spark = rows.sparkSession
     first = Window.partitionBy("embedding").orderBy("vec_id")
     index = materialise(rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("vec_id", "embedding"), "vector-index")
     asked = rows.where("is_query").withColumn("key", F.min("vec_id").over(Window.partitionBy(F.xxhash64("embedding"), "embedding")))

@@ -176,6 +176,16 @@ def test_neighbours(spark):
     assert neighbours.search_fiftieths(vectors.where("vec_id = 0")).count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(0, 300, 10)] + [(i + 5, [1.0, i + 1.0]) for i in range(0, 200, 10)] + [(1000, [1.0, 5.0]), (1050, [1.0] * 4)]
+    out = neighbours.search_fiftieths(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    size = {i: len(v) for i, v in rows}
+    assert sorted((r.query_id, r.rank) for r in out) == [(q, k) for q in (0, 50, 100, 150, 200, 250, 1000) for k in range(1, 6)]
+    assert all(size[r.query_id] == size[r.vec_id] and r.query_id != r.vec_id for r in out)
+    cosine = {i: (1 + 5 * v[1]) / (26 * (1 + v[1] ** 2)) ** 0.5 for i, v in rows if len(v) == 2 and i != 1000}
+    assert [r.vec_id for r in sorted(out, key=lambda r: r.rank) if r.query_id == 1000] == sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
