@@ -1,12 +1,14 @@
 """An adaptive context-mixing range coder for token ids, run in step over many blocks at once.
 
-Each block is coded on its own from a fresh state, so that numpy can take the k-th id of all
-blocks in one step. An id is first compared with what order-2 and order-1 contexts of its block
-predict; the chances of the three outcomes (order 2, order 1, neither) are mixed from adaptive
-estimates by the two contexts' confidences and by the last outcomes, with weights that follow
-whichever did better. If neither predicts it, it is coded by the order-0 chances of the blocks
-that are coded together, a table that goes before them: a block alone is too short to learn the chances of
-so many ids. All arithmetic is on integers, so that decoding repeats encoding exactly on any machine.
+Every block is coded on its own from a fresh state, so that it can be decoded without any other and
+numpy can take the k-th id of all blocks in one step. A block numbers its ids by first appearance. An
+id is first compared with what the order-2 and order-1 contexts of its block predict; the chances
+of the three outcomes (order 2, order 1, neither) are mixed from adaptive estimates by
+the two contexts' confidences and by the last outcomes, with weights that follow whichever did
+better. If neither predicts it, it is coded by the block's order-0 counts so far, in which an id
+that the block hasn't had yet stands as one more symbol; such an id is written by its number of
+bits, with adaptive counts, and its bits. All arithmetic is on integers, so that decoding repeats
+encoding exactly on any machine. Ids are 0 to 2**31 - 1.
 """
 
 from __future__ import annotations
@@ -16,183 +18,258 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-#: Bits of a chance in the order-0 table, of the window, of a word of output, and of the least range.
-_TABLE, _WINDOW, _WORD, _LEAST = 20, 48, 16, 24
-_SLOTS = 2048
-_U = np.uint64
-_TOP, _MASK, _LEAST_MASK = _U(1 << _WINDOW - _WORD), _U((1 << _WINDOW) - 1), _U((1 << _LEAST) - 1)
+#: Bits of the window, of a word of output, of the least range, of mixed chances, and of an id's bits coded at once.
+_WINDOW, _WORD, _LEAST, _MIX, _RAW = 48, 16, 28, 14, 15
+_SLOTS, _KINDS = 1024, 32
+_TOP, _MASK, _LEAST_MASK = 1 << _WINDOW - _WORD, (1 << _WINDOW) - 1, (1 << _LEAST) - 1
 
 
 class Coder:
-    """Carry-less range coders, one for each lane; lanes are named by index arrays."""
+    """Carry-less range coders, one for each lane; lanes are named by index arrays. Totals stay below 2**(_LEAST - 1)."""
 
     def __init__(self, lanes: int, payloads: list[bytes] | None = None):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, _MASK, _U)
-        self.at, self.code = np.zeros(lanes, np.int64), np.zeros(lanes, _U)
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, _MASK, np.int64)
+        self.at, self.code = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.reads = payloads is not None
         if self.reads:
             starts = np.cumsum([0, *(len(p) // 2 for p in payloads)])
-            self.data = np.frombuffer(b"".join(payloads) + bytes(8), "<u2").astype(_U)
+            self.data = np.frombuffer(b"".join(p[: len(p) // 2 * 2] for p in payloads) + bytes(8), "<u2").astype(np.int64)
             self.at = starts[:-1].astype(np.int64)
             for _ in range(_WINDOW // _WORD):
-                self.code = self.code << _U(_WORD) | self.data[self.at]
+                self.code = self.code << _WORD | self.data[np.minimum(self.at, len(self.data) - 1)]
                 self.at += 1
         else:
             self.data = np.zeros((lanes, BLOCK), np.uint16)
 
-    def target(self, lane: np.ndarray, bits: int) -> np.ndarray:
-        """Reading: where in 0 .. 2**bits - 1 the lanes' code lies."""
-        return np.minimum(((self.code[lane] - self.low[lane]) & _MASK) // (self.range[lane] >> _U(bits)), _U((1 << bits) - 1)).astype(np.int64)
+    def target(self, lane: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Reading: where in 0 .. total - 1 the lanes' code lies."""
+        return np.minimum((self.code[lane] - self.low[lane] & _MASK) // (self.range[lane] // total), total - 1)
 
-    def step(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray, bits: int) -> None:
-        """Narrows the lanes' ranges to [low, low + size) of 2**bits, and moves words that are settled."""
-        r = self.range[lane] >> _U(bits)
-        own_low = self.low[lane] + r * low.astype(_U)
-        own_low &= _MASK
-        own = r * size.astype(_U)
+    def step(self, lane: np.ndarray, low: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """Narrows the lanes' ranges to [low, low + size) of total, and moves words that are settled."""
+        r = self.range[lane] // total
+        own_low = self.low[lane] + r * low & _MASK
+        own = r * size
         while True:
-            move = (own_low ^ (own_low + own)) < _TOP
-            tight = own <= _LEAST_MASK
-            m = np.flatnonzero(move | tight)
+            move = (own_low ^ own_low + own) < _TOP
+            m = np.flatnonzero(move | (own <= _LEAST_MASK))
             if not len(m):
                 break
             short = m[~move[m]]
-            own[short] = (~own_low[short] + _U(1)) & _LEAST_MASK
-            name = lane[m]
+            own[short] = -own_low[short] & _LEAST_MASK
+            name, moved = lane[m], own_low[m]
             at = self.at[name]
             if self.reads:
-                self.code[name] = (self.code[name] << _U(_WORD) | self.data[np.minimum(at, len(self.data) - 1)]) & _MASK
+                self.code[name] = (self.code[name] << _WORD | self.data[np.minimum(at, len(self.data) - 1)]) & _MASK
             else:
                 if at.max() + 8 >= self.data.shape[1]:
                     self.data = np.hstack([self.data, np.zeros_like(self.data)])
-                self.data[name, at] = own_low[m] >> _U(_WINDOW - _WORD)
+                self.data[name, at] = moved >> _WINDOW - _WORD
             self.at[name] = at + 1
-            own_low[m] = own_low[m] << _U(_WORD) & _MASK
-            own[m] = own[m] << _U(_WORD) & _MASK
+            own_low[m] = moved << _WORD & _MASK
+            own[m] = own[m] << _WORD & _MASK
         self.low[lane], self.range[lane] = own_low, own
 
     def payloads(self) -> list[bytes]:
         words = _WINDOW // _WORD
         for k in range(words):
-            self.data[np.arange(len(self.low)), self.at + k] = self.low >> _U(_WINDOW - _WORD * (k + 1)) & _U(0xFFFF)
+            self.data[np.arange(len(self.low)), self.at + k] = self.low >> _WINDOW - _WORD * (k + 1) & 0xFFFF
         return [row[: n + words].astype("<u2").tobytes() for row, n in zip(self.data, self.at.tolist(), strict=True)]
 
 
+def _interval(counts: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the column `place` of each row of counts begins, and its count."""
+    rows = np.arange(len(place))
+    size = counts[rows, place]
+    return np.cumsum(counts, axis=1, dtype=counts.dtype)[rows, place] - size, size
+
+
+def _found(counts: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The column of each row of counts in whose interval the target lies, with its start and count."""
+    ends = np.cumsum(counts, axis=1, dtype=counts.dtype)
+    place = (ends <= target[:, None]).sum(axis=1)
+    rows = np.arange(len(place))
+    size = counts[rows, place]
+    return place, ends[rows, place] - size, size
+
+
 class Order0:
-    """Chances of ids in 2**-_TABLE: at least 1 for each id that occurs."""
-
-    def __init__(self, names: np.ndarray, sizes: np.ndarray):
-        self.names, self.sizes = names, sizes
-        low = np.cumsum(sizes) - sizes
-        self.size_of, self.low_of = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.size_of[names], self.low_of[names] = sizes, low
-        self.name_at = np.repeat(names, sizes)
-
-    @classmethod
-    def of(cls, ids: np.ndarray) -> Order0:
-        counts = np.bincount(ids)
-        names = np.flatnonzero(counts)
-        sizes = np.maximum(1, (counts[names] << _TABLE) // counts.sum())
-        while extra := int(sizes.sum()) - (1 << _TABLE):  # the largest take what rounding left over
-            most = int(sizes.argmax())
-            sizes[most] -= min(extra, int(sizes[most]) // 2) if extra > 0 else extra
-        return cls(names, sizes)
-
-    def written(self) -> bytes:
-        return zlib.compress(np.diff(self.names, prepend=0).astype("<u2").tobytes() + self.sizes.astype("<u4").tobytes())
-
-    @classmethod
-    def read(cls, data: bytes) -> Order0:
-        raw = zlib.decompress(data)
-        n = len(raw) // 6
-        return cls(np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, "<u4", n, 2 * n).astype(np.int64))
-
-
-def _run(lanes: int, steps: int, coder: Coder, order0: Order0, ids: np.ndarray | None) -> np.ndarray:
-    """ids: (steps, lanes) to encode, or None to read them."""
-    out = np.zeros((steps, lanes), np.uint16)
-    every = np.arange(lanes)
-    base, sixteen = every * _SLOTS, every * 16
-    # What followed a context, of order 2 and of order 1, and above its 16 bits how often in a row.
-    guess = [np.zeros(lanes * _SLOTS, np.int32) for _ in range(2)]
-    # By context the chances of order 2 and, above its 16 bits, of order 1; and the mixing weights of the three estimates.
-    chance = [np.full(lanes * 16, 12000 | 12000 << 16, np.uint32) for _ in range(3)]
+    """How often each of a block's ids was coded here, summed by 256 and by 16 slots as well, so that
+    an interval is found in three short steps."""
+
+    def __init__(self, lanes: int):
+        self.levels = [np.zeros((lanes * n, BLOCK // 256 if n == 1 else 16), np.int16) for n in (1, BLOCK // 256, BLOCK // 16)]
+        self.total, self.seen = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.kinds = np.ones((lanes, _KINDS), np.int16)
+
+    def totals(self) -> np.ndarray:
+        """Of each lane, with the share of ids that the block hasn't had yet."""
+        return self.total + self.seen // 2 + 1
+
+    def interval(self, lane: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, size = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+        for counts, row, place in zip(self.levels, (lane, lane * (BLOCK // 256) + (slot >> 8), lane * (BLOCK // 16) + (slot >> 4)), (slot >> 8, slot >> 4 & 15, slot & 15), strict=True):
+            before, size = _interval(counts[row], place)
+            low += before
+        return low, size
+
+    def find(self, lane: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot, low = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
+        for counts, wide in zip(self.levels, (1, BLOCK // 256, BLOCK // 16), strict=True):
+            place, before, size = _found(counts[lane * wide + slot], target - low)
+            slot, low = slot * 16 + place, low + before
+        return slot, low, size
+
+    def add(self, lane: np.ndarray, slot: np.ndarray, is_new: np.ndarray) -> None:
+        for counts, row, place in zip(self.levels, (lane, lane * (BLOCK // 256) + (slot >> 8), lane * (BLOCK // 16) + (slot >> 4)), (slot >> 8, slot >> 4 & 15, slot & 15), strict=True):
+            counts[row, place] += 1
+        self.seen[lane] += is_new
+        self.total[lane] += 1
+
+    def new(self, coder: Coder, lane: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Codes, or reads, ids that their blocks haven't had yet: the number of bits, then those below the highest."""
+        total = _KINDS + self.seen[lane] << _RAW
+        if ids is None:
+            target = coder.target(lane, total)
+            kind, low, size = _found(self.kinds[lane], target >> _RAW)
+        else:
+            kind = np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+            low, size = _interval(self.kinds[lane], kind)
+        most = np.clip(kind - 1, 0, _RAW)
+        low, size, rest = low.astype(np.int64) << _RAW, size.astype(np.int64) << _RAW - most, np.maximum(kind - 1 - _RAW, 0)
+        part = (target - low) // size if ids is None else (ids >> rest) & (1 << most) - 1
+        coder.step(lane, low + part * size, size, total)
+        out = ((kind > 0) << most | part) << rest
+        m = np.flatnonzero(rest)
+        if len(m):  # ids from 65,536 on
+            part = coder.target(lane[m], 1 << rest[m]) if ids is None else ids[m] & (1 << rest[m]) - 1
+            coder.step(lane[m], part, np.ones(len(m), np.int64), 1 << rest[m])
+            out[m] |= part
+        self.kinds[lane, kind] += 1
+        return out
+
+
+def _slots(table: np.ndarray) -> np.ndarray:
+    """For each id of each row the number of different ids that the row had before it first appeared."""
+    lanes, steps = table.shape
+    _, first, place = np.unique((np.arange(lanes)[:, None] << 32 | table).ravel(), return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    lane = first[order] // steps
+    rank = np.empty(len(first), np.int32)
+    rank[order] = np.arange(len(first)) - np.searchsorted(lane, np.arange(lanes))[lane]
+    return rank[place.ravel()].reshape(lanes, steps)
+
+
+def _run(lanes: int, steps: int, coder: Coder, table: np.ndarray | None) -> np.ndarray:
+    """table: (lanes, steps) of ids to encode, or None to read them."""
+    out = np.zeros((lanes, steps), np.int32)
+    slots = None if table is None else np.ascontiguousarray(_slots(table).T)
+    every, order0 = np.arange(lanes), Order0(lanes)
+    name_of = np.zeros((lanes, BLOCK), np.int32)
+    # What followed a context, of order 2 and of order 1, as its slot plus 1, and above 12 bits how often in a row.
+    guess, base = np.zeros(2 * lanes * _SLOTS, np.int16), np.array([every, every + lanes]) * _SLOTS
+    # By context the chances of order 2 and of order 1 in 2**-16; and the mixing weights of the three estimates.
+    chance, context = np.full((2, 3 * lanes * 16), 12000, np.int32), np.array([every, every + lanes, every + 2 * lanes]) * 16
     weight = np.full((3, lanes), 64, np.int32)
     one, two, history = (np.zeros(lanes, np.int64) for _ in range(3))
     for k in range(steps):
-        slot = [base + ((one * 40503 + two * 30011 >> 3) & _SLOTS - 1), base + (one * 40503 & _SLOTS - 1)]
-        held = [guess[o][slot[o]] for o in (0, 1)]
-        g, c = [v & 0xFFFF for v in held], [v >> 16 for v in held]
-        agree = g[0] == g[1]
-        at = [sixteen + (c[0] * 2 + agree), sixteen + (c[1] * 2 + agree), sixteen + history]
-        both = [chance[i][at[i]] for i in range(3)]
-        part = [[(v & 0xFFFF).astype(np.int32), (v >> 16).astype(np.int32)] for v in both]
-        total = weight[0] + weight[1] + weight[2]
-        hit = [np.clip((weight[0] * part[0][o] + weight[1] * part[1][o] + weight[2] * part[2][o]) // total, 64, 32000) for o in (0, 1)]
-        if ids is None:
-            target = coder.target(every, 16)
-            won = [target < hit[0]]
-            won.append(~won[0] & (target < hit[0] + hit[1]))
+        first = one * 40503
+        at = base + (np.array([first + two * 30011 >> 3, first]) & _SLOTS - 1)
+        held = guess[at]
+        g, c = held & 0xFFF, held >> 12
+        near = context.copy()
+        near[:2] += c * 2 + (g[0] == g[1])
+        near[2] += history
+        p = chance[:, near]
+        mixed = (weight * p).sum(axis=1) // weight.sum(axis=0) >> 16 - _MIX
+        np.minimum(np.maximum(mixed, 16, out=mixed), 8000, out=mixed)
+        all0 = order0.totals()
+        h0 = mixed[0]
+        h1 = h0 + mixed[1]
+        rest = (1 << _MIX) - h1
+        if slots is None:
+            target = coder.target(every, all0 << _MIX)
+            won = np.where(target < h0 * all0, 0, np.where(target < h1 * all0, 1, 2))
         else:
-            x = ids[k].astype(np.int64)
-            won = [x == g[0]]
-            won.append(~won[0] & (x == g[1]))
-        rest = 65536 - hit[0] - hit[1]
-        size = np.where(won[0], hit[0], np.where(won[1], hit[1], rest))
-        coder.step(every, np.where(won[0], 0, hit[0] + np.where(won[1], 0, hit[1])), size, 16)
-        lost = np.flatnonzero(~(won[0] | won[1]))
-        if ids is None:
-            x = np.where(won[0], g[0], g[1]).astype(np.int64)
-            if len(lost):
-                x[lost] = order0.name_at[coder.target(lost, _TABLE)]
+            x = slots[k] + 1
+            won = np.where(x == g[0], 0, np.where(x == g[1], 1, 2))
+        low, size = np.where(won == 0, 0, h0) * all0, np.where(won == 0, h0, mixed[1]) * all0
+        lost = np.flatnonzero(won == 2)
+        new = lost[:0]
+        if slots is None:
+            x = np.where(won == 0, g[0], g[1]).astype(np.int64)
+        if len(lost):
+            seen, total, r = order0.seen[lost], order0.total[lost], rest[lost]
+            if slots is None:
+                inner = (target[lost] - h1[lost] * all0[lost]) // r
+                is_new = inner >= total
+            else:
+                slot = slots[k][lost].astype(np.int64)
+                is_new = slot == seen
+            old = np.flatnonzero(~is_new)
+            at0, size0 = total.copy(), all0[lost] - total
+            if slots is None:
+                slot = seen.copy()
+                slot[old], at0[old], size0[old] = order0.find(lost[old], inner[old])
+                x[lost] = slot + 1
+            else:
+                at0[old], size0[old] = order0.interval(lost[old], slot[old])
+            low[lost], size[lost] = h1[lost] * all0[lost] + r * at0, r * size0
+            new = lost[is_new]
+        coder.step(every, low, size, all0 << _MIX)
+        if len(new):
+            names = order0.new(coder, new, None if table is None else table[new, k].astype(np.int64))
+            name_of[new, order0.seen[new]] = names
         if len(lost):
-            name = x[lost]
-            coder.step(lost, order0.low_of[name], order0.size_of[name], _TABLE)
-        out[k] = x
-        for i in range(3):
-            own = np.where(won[0], part[i][0], np.where(won[1], part[i][1], 65536 - part[i][0] - part[i][1]))
-            weight[i] += own - size >> 9
-            p = [v - (v >> 5) + w * np.int32(2000) for v, w in zip(part[i], won, strict=True)]
-            chance[i][at[i]] = p[0] | p[1].astype(np.uint32) << 16
-        np.clip(weight, 4, 255, out=weight)
+            order0.add(lost, slot, is_new)
+        if slots is None:
+            out[:, k] = name_of[every, x - 1]
+        hits = [won == 0, won == 1]
+        own = np.where(hits[0], p[0], np.where(hits[1], p[1], 65536 - p[0] - p[1]))
+        weight += own - (np.where(hits[0], h0, np.where(hits[1], mixed[1], rest)) << 16 - _MIX).astype(np.int32) >> 9
+        np.minimum(np.maximum(weight, 4, out=weight), 255, out=weight)
+        p -= p >> 5
         for o in (0, 1):
-            guess[o][slot[o]] = x + (np.minimum(c[o] + 1, 7) * (g[o] == x) << 16)
-        history = (history * 3 + 2 - 2 * won[0] - won[1]) % 9
-        one, two = x, one
+            p[o] += hits[o] * np.int32(2000)
+        chance[:, near] = p
+        guess[at] = x + (np.where(g == x, np.minimum(c + 1, 7), 1) << 12)
+        history = (history * 3 + won) % 9
+        one, two = x.astype(np.int64), one
     return out
 
 
-def shape(n: int) -> tuple[int, int]:
-    """Blocks and ids in each, for n ids; the last block is padded with its last id."""
-    lanes = -(-n // BLOCK)
-    return lanes, -(-n // lanes) if lanes else 0
+def encode(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
+    """Payload and crc32 (of its ids as little-endian 32-bit integers) of each block of BLOCK ids.
 
-
-def encode(ids: np.ndarray) -> tuple[bytes, list[bytes], list[int]]:
-    """The order-0 table, and payload and crc32 (of its ids as little-endian 32-bit integers) of
-    each block; ids are below 2**16."""
-    lanes, steps = shape(len(ids))
-    if not lanes:
-        return b"", [], []
-    if ids.min() < 0 or ids.max() >= 1 << 16:
-        raise ValueError("ids must lie in 0 .. 65535")
-    table = np.full(lanes * steps, ids[-1], np.uint16)
+    The last block may be shorter: it is coded as if its last id was repeated. No ids: no blocks."""
+    if not len(ids):
+        return [], []
+    if ids.min() < 0 or ids.max() >= 1 << 31:
+        raise ValueError("ids must lie in 0 .. 2**31 - 1")
+    lanes, steps = -(-len(ids) // BLOCK), min(len(ids), BLOCK)
+    table = np.full(lanes * steps, ids[-1], np.int32)
     table[: len(ids)] = ids
-    order0, table = Order0.of(table), table.reshape(lanes, steps)
     coder = Coder(lanes)
-    _run(lanes, steps, coder, order0, np.ascontiguousarray(table.T))
-    return order0.written(), coder.payloads(), [zlib.crc32(row.astype("<u4").tobytes()) for row in table]
-
-
-def decode(n: int, table: bytes, payloads: list[bytes], checksums: list[int]) -> np.ndarray:
-    """The n ids of encode(); a block whose ids don't have its checksum raises ValueError."""
-    lanes, steps = shape(n)
-    if len(payloads) != lanes or len(checksums) != lanes:
-        raise ValueError(f"{n} ids make {lanes} blocks; {len(payloads)} are there")
-    if not lanes:
-        return np.zeros(0, np.int64)
-    found = np.ascontiguousarray(_run(lanes, steps, Coder(lanes, payloads), Order0.read(table), None).T)
-    for k, row in enumerate(found):
+    _run(lanes, steps, coder, table.reshape(lanes, steps))
+    return coder.payloads(), [zlib.crc32(table[k * steps : min(len(ids), (k + 1) * steps)].astype("<u4").tobytes()) for k in range(lanes)]
+
+
+def decode(sizes: list[int], payloads: list[bytes], checksums: list[int]) -> np.ndarray:
+    """The ids of any blocks of encode(), one after the other; sizes has the number of ids of each.
+
+    A block whose ids don't have its checksum raises ValueError; others don't depend on it."""
+    if not len(sizes) == len(payloads) == len(checksums):
+        raise ValueError(f"{len(sizes)} sizes, {len(payloads)} blocks, {len(checksums)} checksums")
+    if not len(sizes):
+        return np.zeros(0, np.int32)
+    found = _run(len(sizes), max(sizes), Coder(len(sizes), payloads), None)
+    out = [row[:n] for row, n in zip(found, sizes, strict=True)]
+    for k, row in enumerate(out):
         if zlib.crc32(row.astype("<u4").tobytes()) != checksums[k]:
             raise ValueError(f"block {k} is damaged")
-    return found.ravel()[:n].astype(np.int64)
+    return np.concatenate(out)
+
+
+def sizes_of(n: int) -> list[int]:
+    """The sizes of the blocks that n ids make."""
+    return [min(BLOCK, n - at) for at in range(0, n, BLOCK)]

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary one; on a
+    cluster that is an error, as executors don't see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loomstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/loomstone"
@@ -37,6 +41,32 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, giving memory that it has freed back to the machine when it ends: Spark keeps Python workers for later
+    tasks, and several of them share an executor's memory."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (AttributeError, OSError):  # another C library: it keeps what it keeps
+                pass
+
+    return wrapped
+
+
+def partitions(spark: SparkSession, size: int, each: int) -> int:
+    """Partitions for size bytes, so that each has `each` at most on average: no fewer than spark.sql.shuffle.partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column; sizes blocks, so that they don't grow with the table."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]

@@ -1,13 +1,15 @@
 """Token-id files: documents' ids in ascending doc_id order, in checksummed range-coded blocks.
 
-A file is a Parquet table of segments. A segment holds whole documents, about SEGMENT_IDS ids,
-as one stream cut into blocks that range_coder codes independently: (part, seg) gives its
-place in the order, doc_ids and lengths describe its documents, model the chances of its ids,
-payloads and checksums its blocks. A damaged block is found by its checksum, and only its segment is lost.
+A file is a Parquet table of segments of up to SEGMENT_IDS ids, as one stream cut into blocks that
+range_coder codes independently: (part, seg) gives a segment's place in the order, docs, doc_ids and lengths
+describe its documents (their number within the part, their id, and how many of their ids are in the
+segment: a long document goes on in the next), payloads and checksums its blocks. A damaged
+block is found by its checksum, and only its own ids are lost.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -17,19 +19,26 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstone.llm import range_coder
 from loomstone.llm.prefix import prefix_sums
-from loomstone.llm.runtime import shared_dir, small_batches
-
-SEGMENT_IDS, END = 3_000_000, 2
-#: Words whose ids a worker keeps at most, before it starts anew: about 75 MB.
-_CACHED = 300_000
+from loomstone.llm.runtime import lean, materialise, partitions, shared_dir, small_batches, text_bytes
+
+SEGMENT_IDS, END = 2_000_000, 2
+#: UTF-8 bytes of text that a part of the files holds, about.
+PART_BYTES = 256_000_000
+#: Words whose ids a worker keeps at most, before it starts anew: about 25 MB.
+_CACHED = 100_000
+#: Code points of a text, and texts, that go through the tokenizer at once.
+_SLICE, _TEXTS = 200_000, 200
 #: Texts of these characters are in NFC, lower-case as the tokenizer does, and split as below.
 _PLAIN = re.compile("[\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+#: Where a long text may be cut: the vocabulary of the default path drops white space and starts words anew after it.
+_CUT = re.compile("[ \n][A-Za-z]")
 
 
 def default_path() -> str:
@@ -40,6 +49,7 @@ def default_path() -> str:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -73,75 +83,106 @@ def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[list
     return out
 
 
-def token_ids(text: Column, path: str | None = None, by_word: bool | None = None) -> Column:
-    """The ids of a text column (null: none) as an array."""
-    by_word = path is None if by_word is None else by_word
-    path = path or default_path()
+def _cuts(text: str) -> list[str]:
+    """A long text in slices that are tokenized alike on their own; text without a place to cut stays whole."""
+    out, start = [], 0
+    while len(text) - start > _SLICE and (m := _CUT.search(text, start + _SLICE)):
+        out.append(text[start : m.start() + 1])
+        start = m.start() + 1
+    return [*out, text[start:]]
+
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            texts = texts.fillna("").tolist()
-            yield pd.Series([np.array(x, np.int32) for at in range(0, len(texts), 200) for x in encode_texts(texts[at : at + 200], path, by_word)])
+def text_ids(texts: list[str | None], path: str, by_word: bool) -> Iterator[np.ndarray]:
+    """The ids of each text (null: none), for a bounded number of texts and of code points at once."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        if len(text) > _SLICE and by_word:
+            yield from (np.array(x, np.int32) for x in encode_texts(held, path, by_word))
+            held, size = [], 0
+            yield np.concatenate([np.array(encode_texts([t], path, by_word)[0], np.int32) for t in _cuts(text)])
+            continue
+        held.append(text)
+        size += len(text)
+        if len(held) >= _TEXTS or size > _SLICE:
+            yield from (np.array(x, np.int32) for x in encode_texts(held, path, by_word))
+            held, size = [], 0
+    yield from (np.array(x, np.int32) for x in encode_texts(held, path, by_word))
 
-    return run(text)
 
+_SEGMENT = "part int, seg int, n long, docs binary, doc_ids binary, no_id binary, lengths binary, payloads array<binary>, checksums array<long>"
+_FIELDS = [("part", pa.int32()), ("seg", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("doc_ids", pa.binary()), ("no_id", pa.binary()), ("lengths", pa.binary()), ("payloads", pa.list_(pa.binary())), ("checksums", pa.list_(pa.int64()))]
 
-_SEGMENT = "part int, seg int, n long, doc_ids binary, no_id binary, lengths binary, model binary, payloads array<binary>, checksums array<long>"
 
+def write(docs: DataFrame, folder: str, path: str | None = None, by_word: bool | None = None) -> None:
+    """Writes (doc_id, text) in ascending doc_id order, null ids first, ties by text; END closes each document.
 
-def write(docs: DataFrame, folder: str) -> None:
-    """Writes (doc_id, text, ids) in ascending doc_id order, null ids first, ties by text; END closes each document."""
+    One function tokenizes and codes. It holds a segment's ids and one Arrow batch of texts, so a text longer than a
+    segment is spread over several. Rows equal in both columns can't be dealt to different parts."""
     small_batches(docs.sparkSession)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_word = path is None if by_word is None else by_word
+    path = path or default_path()
+    n = partitions(docs.sparkSession, text_bytes(docs), PART_BYTES)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[np.ndarray]]]:
-        part, names, held, size = 0, [], [], 0
+        part, doc, names, held, size = 0, 0, [], [], 0
         for batch in batches:
-            offsets = batch.column(2).offsets.to_numpy()
-            values = batch.column(2).values.to_numpy()
-            for i, (p, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                part = p
-                names.append(name)
-                held.append(np.append(values[offsets[i] : offsets[i + 1]], np.int32(END)))
-                size += len(held[-1])
-                if size >= SEGMENT_IDS:
-                    yield part, names, held
-                    names, held, size = [], [], 0
+            ids = text_ids(batch.column(2).to_pylist(), path, by_word)
+            for part, name, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, strict=True):
+                own = np.append(own, np.int32(END))
+                while len(own):
+                    room = SEGMENT_IDS - size
+                    names.append((doc, name))
+                    held.append(own[:room])
+                    size += len(held[-1])
+                    own = own[room:]
+                    if size == SEGMENT_IDS:
+                        yield part, names, held
+                        names, held, size = [], [], 0
+                doc += 1
         if names:
             yield part, names, held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (part, names, held) in enumerate(segments(batches)):
             ids = np.concatenate(held)
-            model, payloads, checksums = range_coder.encode(ids)
+            payloads, checksums = range_coder.encode(ids)
             row = {
-                "part": part, "seg": k, "n": len(ids), "doc_ids": np.array([x or 0 for x in names], np.int64).tobytes(), "no_id": np.array([x is None for x in names]).tobytes(),
-                "lengths": np.array([len(x) for x in held], np.int64).tobytes(), "model": model, "payloads": payloads, "checksums": checksums,
+                "part": part, "seg": k, "n": len(ids), "docs": np.array([d for d, _ in names], np.int64).tobytes(), "doc_ids": np.array([x or 0 for _, x in names], np.int64).tobytes(),
+                "no_id": np.array([x is None for _, x in names]).tobytes(), "lengths": np.array([len(x) for x in held], np.int64).tobytes(), "payloads": payloads, "checksums": checksums,
             }
-            schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("n", pa.int64()), ("doc_ids", pa.binary()), ("no_id", pa.binary()), ("lengths", pa.binary()), ("model", pa.binary()), ("payloads", pa.list_(pa.binary())), ("checksums", pa.list_(pa.int64()))])
-            yield pa.RecordBatch.from_pylist([row], schema)
+            yield pa.RecordBatch.from_pylist([row], pa.schema(_FIELDS))
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
-    coded = ordered.select(F.spark_partition_id().alias("part"), "doc_id", token_ids(F.col("text")).alias("ids"))
-    coded.mapInArrow(run, _SEGMENT).write.parquet(folder)
+    ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(lean(run), _SEGMENT).write.parquet(folder)
+
 
+def read(spark: SparkSession, folder: str, checksums: bool = False) -> DataFrame:
+    """(part, seg, at, doc, doc_id, ids): documents of the files, doc being their number in the part.
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, seg, at, doc_id, ids): documents of the files; at is the place of the first id in its segment."""
+    at is the place of the first id in its segment. A document longer than a segment has a row for each of its segments. With
+    checksums, n and crc32 (of the ids as little-endian unsigned 32-bit integers) stand in place of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = range_coder.decode(row["n"], row["model"], row["payloads"], row["checksums"]).astype(np.int32)
+            for k in range(batch.num_rows):
+                row = {name: batch.column(j)[k].as_py() for j, name in enumerate(batch.schema.names)}
+                ids = range_coder.decode(range_coder.sizes_of(row["n"]), row["payloads"], row["checksums"])
                 lengths = np.frombuffer(row["lengths"], np.int64)
                 ends = np.cumsum(lengths)
-                lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), pa.array(ids)).cast(pa.list_(pa.int32()))
                 m = len(lengths)
-                names = pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], bool))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, row["part"], np.int32)), pa.array(np.full(m, row["seg"], np.int32)), pa.array(ends - lengths), names, lists], ["part", "seg", "at", "doc_id", "ids"])
+                head = [pa.array(np.full(m, row["part"], np.int32)), pa.array(np.full(m, row["seg"], np.int32)), pa.array(ends - lengths), pa.array(np.frombuffer(row["docs"], np.int64)), pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["no_id"], bool))]
+                if checksums:
+                    raw = ids.astype("<u4").tobytes()
+                    crc = [zlib.crc32(memoryview(raw)[4 * (e - n) : 4 * e]) for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
+                    tail = [pa.array(lengths), pa.array(crc, pa.int64())]
+                else:
+                    tail = [pa.LargeListArray.from_arrays(pa.array(np.append(0, ends)), pa.array(ids)).cast(pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*head, *tail], ["part", "seg", "at", "doc", "doc_id", *(["n", "crc32"] if checksums else ["ids"])])
 
-    return spark.read.schema(_SEGMENT).parquet(folder).mapInArrow(run, "part int, seg int, at long, doc_id long, ids array<int>")
+    own = "n long, crc32 long" if checksums else "ids array<int>"
+    return spark.read.schema(_SEGMENT).parquet(folder).mapInArrow(lean(run), f"part int, seg int, at long, doc long, doc_id long, {own}")
 
 
 def starts(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,19 +191,47 @@ def starts(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_sums(sizes, [], [F.col("part"), F.col("seg")], {"before": F.col("n")}, "segments").select("part", "seg", "before")
 
 
+def joined_crc32(parts: list[tuple[int, int]]) -> int:
+    """The crc32 of bytes from those of their pieces, each given as (crc32, number of bytes)."""
+    poly, out = 0xEDB88320, 0
+
+    def times(a: int, b: int) -> int:  # modulo the polynomial, bits reversed
+        product = 0
+        for k in range(31, -1, -1):
+            if a >> k & 1:
+                product ^= b
+            b = b >> 1 ^ (poly if b & 1 else 0)
+        return product
+
+    for crc, size in parts:
+        shift, power, bits = 1 << 31, 1 << 30, 8 * size
+        while bits:
+            if bits & 1:
+                shift = times(shift, power)
+            power, bits = times(power, power), bits >> 1
+        out = times(shift, out) ^ crc
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def _joined(parts: pd.Series) -> pd.Series:
+    return pd.Series([joined_crc32([(p["crc32"], 4 * p["n"]) for p in row]) for row in parts], dtype="int64")
+
+
 def digest(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from its files.
 
     A null or empty text has the end id only. Rows that repeat a doc_id are documents of their own,
-    ordered by text. Further columns are ignored; an empty table gives no rows.
+    ordered by text. A very long text is spread over segments, whose checksums are joined. Further columns are
+    ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write(docs, folder)
-
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x).astype("<u4").tobytes()) for x in ids], dtype="int64")
-
-    found = read(spark, folder).select("part", "seg", "at", "doc_id", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
-    return found.join(starts(spark, folder), ["part", "seg"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    found = read(spark, folder, checksums=True).join(starts(spark, folder), ["part", "seg"]).withColumn("start", F.col("before") + F.col("at"))
+    # Only the first and the last document of a segment can go on in another.
+    split = (F.col("n") == SEGMENT_IDS) | (F.col("at") == 0) | (F.col("at") + F.col("n") == SEGMENT_IDS)
+    found = materialise(found.select("part", "doc", "doc_id", "start", "n", "crc32", split.alias("split")), "token-digests")
+    whole = found.where("not split").select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+    pieces = found.where("split").groupBy("part", "doc").agg(F.min("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("start", "n", "crc32"))).alias("parts"))
+    return whole.unionByName(pieces.select("doc_id", "start", "n_tokens", F.when(F.size("parts") == 1, F.col("parts")[0]["crc32"]).otherwise(_joined("parts")).alias("ids_crc32")))

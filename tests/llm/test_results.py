@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from loomstone.llm import bpe, fingerprint, jaccard, mixing, range_coder, toxicity
+from loomstone.llm import bpe, fingerprint, jaccard, mixing, range_coder, token_files, toxicity
 from loomstone.llm.runtime import components
 from loomstone.llm.shingles import shingle_rows
 
@@ -159,8 +159,6 @@ def test_line_dedup(spark):
 
 
 def test_token_files(spark, texts):
-    from loomstone.llm import token_files
-
     own, start = token_files._tokenizer(token_files.default_path()), 0
     for r in query(spark, "op6_").orderBy("doc_id").collect():
         ids = own.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
@@ -168,19 +166,53 @@ def test_token_files(spark, texts):
         start += len(ids)
 
 
-@pytest.mark.parametrize("n", [0, 1, 700, 2048, 2049, 9000])
-@pytest.mark.parametrize("top", [1, 3, 65536])
+@pytest.mark.parametrize("n", [0, 1, 2049, 5000])
+@pytest.mark.parametrize("top", [1, 3, 50_000, 65_537, 2**31])
 def test_range_coder(n, top):
     ids = np.random.default_rng(n + top).integers(0, top, n)
-    assert (range_coder.decode(n, *range_coder.encode(ids)) == ids).all()
+    payloads, checksums = range_coder.encode(ids)
+    sizes = range_coder.sizes_of(n)
+    assert (range_coder.decode(sizes, payloads, checksums) == ids).all()
+    for k, size in enumerate(sizes):  # each block alone
+        assert (range_coder.decode([size], [payloads[k]], [checksums[k]]) == ids[k * range_coder.BLOCK :][:size]).all()
+
+
+def test_range_coder_learns():
+    draw = np.random.default_rng(3)
+    ids = np.tile(draw.integers(0, 50_000, 150), 60)
+    assert sum(map(len, range_coder.encode(ids)[0])) * 8 < 3 * len(ids)
 
 
 def test_damaged_block():
     ids = np.random.default_rng(0).integers(0, 500, 5000)
-    table, payloads, checksums = range_coder.encode(ids)
-    broken = bytes([payloads[1][0] ^ 1]) + payloads[1][1:]
+    payloads, checksums = range_coder.encode(ids)
+    broken, sizes = bytes([payloads[1][0] ^ 1]) + payloads[1][1:], range_coder.sizes_of(5000)
     with pytest.raises(ValueError, match="block 1"):
-        range_coder.decode(5000, table, [payloads[0], broken, payloads[2]], checksums)
+        range_coder.decode(sizes, [payloads[0], broken, payloads[2]], checksums)
+    with pytest.raises(ValueError, match="damaged"):
+        range_coder.decode(sizes[1:2], [payloads[1][: len(payloads[1]) // 2]], checksums[1:2])
+    rest = range_coder.decode(sizes[::2], payloads[::2], checksums[::2])
+    assert (rest == np.append(ids[:2048], ids[4096:])).all()
+
+
+def test_token_files_of_texts_longer_than_a_segment(spark, texts, monkeypatch):
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 500)
+    monkeypatch.setattr(token_files, "_SLICE", 300)
+    some = dict(list(texts.items())[:10]) | {10_000: "one two, three's " * 500, 10_001: "", 10_002: "x" * 5000}
+    own, start = token_files._tokenizer(token_files.default_path()), 0
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    found = token_files.digest(docs).orderBy("doc_id").collect()
+    assert len(found) == len(some)
+    for r in found:
+        ids = own.encode(some[r.doc_id], add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_joined_crc32():
+    draw = random.Random(8)
+    parts = [draw.randbytes(n) for n in (0, 1, 7, 1000, 33)]
+    assert token_files.joined_crc32([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
 
 
 def test_sharding(spark, texts):
