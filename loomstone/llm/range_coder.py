@@ -17,7 +17,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1024
 #: Bits of the window, of a word of output, of the least range, of mixed chances, and of an id's bits coded at once.
 _WINDOW, _WORD, _LEAST, _MIX, _RAW = 48, 16, 28, 14, 15
 _SLOTS, _KINDS = 1024, 32
