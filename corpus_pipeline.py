@@ -39,8 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids of each row, and whether the ids decode to its text."""
-    coded = bpe.encode(docs)
-    same = bpe.decode(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")
+    coded = bpe.encode(docs, raw=True)
+    same = F.col("raw") == F.coalesce("text", F.lit("")).cast("binary")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("lossless"))
 
 
