@@ -1,7 +1,7 @@
 """Mixing sources to target weights, with DataFrame and SQL functions only.
 
-Each source's words, in doc_id order, are packed into blocks of a fixed length. Every output
-shard draws a multinomial count of slots for each source; a source's slots, numbered over all
+Each source's words, in doc_id order, are packed into blocks of a fixed length (a shorter one for a source
+of few words, so that whole blocks come near its target). Every output shard draws a multinomial count of slots for each source; a source's slots, numbered over all
 shards, go through a pseudorandom permutation of its block indices, as often as the target
 asks; and slots and documents are joined by block index.
 """
@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.llm.prefix import prefix_sums
-from loomstone.llm.runtime import materialise
+from loomstone.llm.runtime import materialise, partitions
 
-BLOCK_WORDS, SHARD_SLOTS, ROUNDS = 128, 1024, 8
+#: Words of a block; a source has so many blocks at least, if it has as many words.
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_SLOTS, ROUNDS = 128, 256, 1024, 8
+#: Slots that a partition of the draws makes.
+SLOTS_PER_PART = 1_000_000
 KEY = ["no_source", "source_key"]
 _SPACES = " \t\n\x0b\x0c\r"
 
@@ -25,7 +28,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     """Adds target to rows (no_source, source_key, source_size): share of all sizes, split by weights.
 
     Weights repeat over the sources by code point, null last. No target exceeds most times its
-    source's size: with sources in order of cap / weight, the common rate
+    source's size. A row for each source, and nothing else, goes through one task: with sources in order of cap / weight, the common rate
     is that of the first source that isn't cut, the largest of those that cut nothing more.
     """
     total = Window.partitionBy()
@@ -53,17 +56,19 @@ def _slots(targets: DataFrame, seed: int) -> DataFrame:
 
     A shard's slots draw their sources by weight, which makes its counts multinomial. Over all
     shards a source may have drawn more than its number of slots: what is over goes, in order,
-    to the sources that drew too few, so that totals are met exactly.
+    to the sources that drew too few, so that totals are met exactly. Slots are made in parallel, and
+    sums over shards are prefix sums over range partitions; the driver has the number of slots alone.
     """
+    spark = targets.sparkSession
     bounds = targets.where("n_slots > 0").withColumn("high", F.sum("n_slots").over(Window.orderBy(*KEY))).withColumn("low", F.col("high") - F.col("n_slots"))
-    table = bounds.groupBy().agg(F.max("high").alias("slots"))
-    shards = table.select("slots", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SHARD_SLOTS))).alias("shard"))
-    place = F.explode(F.sequence(F.lit(0), F.least(F.lit(SHARD_SLOTS), F.col("slots") - F.col("shard") * SHARD_SLOTS) - 1))
-    drawn = shards.select("shard", "slots", place.alias("place")).withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "shard", "place"), F.col("slots")))
+    slots = bounds.agg(F.coalesce(F.max("high"), F.lit(0))).first()[0]
+    parts = partitions(spark, slots, SLOTS_PER_PART)
+    drawn = spark.range(0, slots, 1, parts).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.pmod("id", F.lit(SHARD_SLOTS)).alias("place"))
+    drawn = drawn.withColumn("at", F.pmod(F.xxhash64(F.lit(seed), "shard", "place"), F.lit(max(1, slots))))
     # Draws and sources meet by intervals of equal width. Spark takes what explode() makes for small and would
     # broadcast the draws, which grow with the data; so the join is told to shuffle.
-    width = F.greatest(F.lit(1), F.floor(F.col("slots") / 256))
-    near = bounds.crossJoin(F.broadcast(table.select("slots"))).withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
+    width = F.lit(max(1, slots // max(256, 4 * parts)))
+    near = bounds.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))))
     counts = (
         drawn.withColumn("bin", F.floor(F.col("at") / width))
         .join(near.select("bin", "low", "high", "n_slots", *KEY).hint("shuffle_hash"), "bin")
@@ -71,20 +76,20 @@ def _slots(targets: DataFrame, seed: int) -> DataFrame:
         .groupBy("shard", *KEY)
         .agg(F.count("*").alias("c"), F.first("n_slots").alias("n_slots"))
     )
-    before = Window.partitionBy(*KEY).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = materialise(counts.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("kept", F.greatest(F.lit(0), F.least("c", F.col("n_slots") - F.col("start")))), "mix-draws")
+    counts = prefix_sums(counts, KEY, [F.col("shard")], {"start": F.col("c")}, "mix-counts")
+    counts = materialise(counts.withColumn("kept", F.greatest(F.lit(0), F.least("c", F.col("n_slots") - F.col("start")))), "mix-draws")
     own = counts.where("kept > 0").select("shard", *KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("kept") - 1)).alias("slot"))
     over = counts.groupBy("shard").agg(F.sum(F.col("c") - F.col("kept")).alias("n")).where("n > 0")
-    over = over.withColumn("to", F.sum("n").over(Window.orderBy("shard"))).select("shard", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("rank"))
+    over = prefix_sums(over, [], [F.col("shard")], {"from": F.col("n")}, "mix-over").select("shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("rank"))
     short = targets.join(counts.groupBy(*KEY).agg(F.sum("c").alias("drawn")), KEY, "left").withColumn("n", F.col("n_slots") - F.coalesce("drawn", F.lit(0))).where("n > 0")
-    short = short.withColumn("to", F.sum("n").over(Window.orderBy(*KEY)))
-    short = short.select(*KEY, "n_slots", "n", "to", F.explode(F.sequence(F.col("to") - F.col("n"), F.col("to") - 1)).alias("rank"))
-    moved = over.join(short.hint("shuffle_hash"), "rank").select("shard", *KEY, (F.col("n_slots") - F.col("to") + F.col("rank")).alias("slot"))
+    short = prefix_sums(short, [], [F.col(c) for c in KEY], {"from": F.col("n")}, "mix-short")
+    short = short.select(*KEY, "n_slots", "n", "from", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("rank"))
+    moved = over.join(short.hint("shuffle_hash"), "rank").select("shard", *KEY, (F.col("n_slots") - F.col("n") + F.col("rank") - F.col("from")).alias("slot"))
     return own.unionByName(moved)
 
 
 def _plan(docs: DataFrame, seed: int, carry: Sequence[Column] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with size and words before them in their source; targets of sources; uses of blocks."""
+    """Rows with size, words before them in their source and the words of its blocks; targets of sources; uses of blocks."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").isNull().cast("int").alias("no_source"),
@@ -95,21 +100,23 @@ def _plan(docs: DataFrame, seed: int, carry: Sequence[Column] = ()) -> tuple[Dat
     )
     placed = materialise(prefix_sums(rows, KEY, [F.col("doc_id").asc_nulls_last(), F.col("text_hash")], {"before": F.col("size")}, "mix-rows"), "mix-placed")
     targets = source_targets(placed.groupBy(*KEY).agg(F.sum("size").alias("source_size")))
-    targets = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / BLOCK_WORDS))
+    targets = targets.withColumn("block_words", F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.floor(F.col("source_size") / LEAST_BLOCKS))))
+    targets = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_words")))
     targets = targets.withColumn("n_slots", F.coalesce(F.least(F.round(F.try_divide("target", "source_size") * F.col("n_blocks")).cast("long"), 2 * F.col("n_blocks")), F.lit(0)))
     targets = materialise(targets, "mix-targets")
     slots = _slots(targets.select(*KEY, "n_slots"), seed).join(targets.select(*KEY, "n_blocks"), KEY)
     block = permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("no_source"), F.col("source_key"))
     uses = slots.select(*KEY, block.alias("block")).groupBy(*KEY, "block").agg(F.count("*").alias("uses"))
-    return placed, targets, uses
+    return placed.join(targets.select(*KEY, "block_words"), KEY), targets, uses
 
 
 def _pieces(placed: DataFrame, uses: DataFrame, how: str = "inner") -> DataFrame:
     """One row for each document and block that it has words in, with the block's uses."""
-    first, last = F.floor(F.col("before") / BLOCK_WORDS), F.floor((F.col("before") + F.col("size") - 1) / BLOCK_WORDS)
+    words = F.col("block_words")
+    first, last = F.floor(F.col("before") / words), F.floor((F.col("before") + F.col("size") - 1) / words)
     spread = placed.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    low = F.greatest(F.col("before"), F.col("block") * BLOCK_WORDS)
-    high = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * BLOCK_WORDS)
+    low = F.greatest(F.col("before"), F.col("block") * words)
+    high = F.least(F.col("before") + F.col("size"), (F.col("block") + 1) * words)
     return spread.select("doc_id", *KEY, "text_hash", "before", "size", "block", (low - F.col("before")).alias("at"), (high - low).alias("n")).join(uses, [*KEY, "block"], how)
 
 
@@ -117,7 +124,7 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs.
 
     size: words of the text (null or empty: 0). Nulls in source are a source of their own, the
-    last. A source without words has target 0. taken counts words of the row in the mix, repeats
+    last. A source without words has target 0. Further columns are ignored, whatever their names. taken counts words of the row in the mix, repeats
     included; a block is used twice at most, so taken is at most twice the size. Everything follows from the rows and the seed,
     so reruns agree. Rows that repeat a doc_id are rows of their own; an empty table gives none.
     """
@@ -125,7 +132,7 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     counted = _pieces(placed, uses, "left").groupBy("doc_id", *KEY, "text_hash", "before", "size")
     joined = counted.agg(F.sum(F.col("n") * F.coalesce("uses", F.lit(0))).alias("taken")).select("doc_id", *KEY, "size", "taken")
     empty = placed.where("size = 0").select("doc_id", *KEY, "size", F.lit(0).cast("long").alias("taken"))
-    return joined.unionByName(empty).join(targets, KEY).select("doc_id", "size", "source_size", "target", "taken")
+    return joined.unionByName(empty).join(targets.drop("block_words"), KEY).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
