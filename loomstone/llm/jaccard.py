@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm.hashing import U, mix, utf8_column
-from loomstone.llm.runtime import components, materialise, small_batches, text_bytes
+from loomstone.llm.runtime import components, lean, materialise, small_batches, text_bytes
 from loomstone.llm.shingles import shingle_rows
 
 #: A column block holds about so many incidences, a map task packs so many before it sends them.
@@ -50,7 +50,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 size[i], node[i] = len(h), set_key(h) if len(h) else 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(node, mask=size == 0)], ["doc_id", "n_shingles", "node"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, node long")
 
 
 def _incidence(docs: DataFrame, n_blocks: int) -> DataFrame:
@@ -91,7 +91,7 @@ def _incidence(docs: DataFrame, n_blocks: int) -> DataFrame:
         if sets:
             yield pack(nodes, sets)
 
-    return docs.select("text").mapInArrow(run, "block int, nodes binary, sizes binary, counts binary, hashes binary")
+    return docs.select("text").mapInArrow(lean(run), "block int, nodes binary, sizes binary, counts binary, hashes binary")
 
 
 def _joined(column: pd.Series, kind: type) -> np.ndarray:
@@ -229,7 +229,7 @@ def jaccard_links(docs: DataFrame, percent: int = 75) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all documents; linked ones have the same component_id.
 
-    docs: doc_id, text; further columns are ignored. A null or empty text, or one of white space
+    docs: doc_id, text; further columns are ignored. A text of any length is one set, made by one task. A null or empty text, or one of white space
     only, has no shingles and is its own component. Equal texts are linked. Rows that repeat a
     doc_id each keep a row; a null doc_id takes part in links, and its component_id is null only
     if no document of its component has an id. An empty table gives no rows.
@@ -238,10 +238,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = materialise(document_sets(docs), "jaccard-sets")
     links = materialise(jaccard_links(docs, percent), "jaccard-links")
     classes = components(links, "jaccard")
-    member = sets.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    # Pre-aggregated before the shuffle: a class of many copies sends one row per task.
-    first = member.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return member.join(first, "class", "left").select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    # One row for each node, then one for each class: copies are combined before they are shuffled, and the
+    # names go back by joins of written tables, whose skewed partitions Spark can split.
+    nodes = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(classes, "node", "left")
+    nodes = materialise(nodes.select("node", F.coalesce("component", "node").alias("class"), "least"), "jaccard-classes")
+    named = materialise(nodes.groupBy("class").agg(F.min("least").alias("component_id")), "jaccard-names")
+    named = materialise(nodes.join(named, "class").select("node", "component_id"), "jaccard-named")
+    out = sets.join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 ORACLE_SQL = """
