@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-from loomstone.llm.hashing import U, blocks, span_hashes
+from loomstone.llm.hashing import U, blocks, mix, span_hashes
 
 _BLOCK_CHARS = 250_000
 _SPACE = 32
@@ -20,14 +20,14 @@ def _separators(letters_only: bool) -> np.ndarray:
 _TABLES = {kind: _separators(kind) for kind in (False, True)}
 
 
-def hashed_features(texts: Sequence[str], bits: int, grams: Sequence[int], letters_only: bool, lags: Sequence[int] = (), prefixes: Sequence[int] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def hashed_features(texts: Sequence[str], bits: int, grams: Sequence[int], letters_only: bool, word_grams: Sequence[int] = (), patterns: Sequence[int] = (), prefixes: Sequence[int] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, end row, row of each feature from 0, bucket of each feature) for runs of rows.
 
     Words are runs between separators: white space or, with letters_only, anything but letters,
     of the lower-cased text. Features are whole words and character n-grams that no
     separator cuts; one may stand at either end of a gram, to mark a word's end. Prefixes are
-    the beginnings, of these lengths, of longer words. For each lag,
-    a pair of words so far apart is a feature too: only whether they are the same word.
+    the beginnings, of these lengths, of longer words. Word grams are runs of so many words of a text, in order;
+    patterns are word grams in which each word stands for its first place in the gram: all that is told is which words are equal.
     """
     table = _TABLES[letters_only]
     for a, b in blocks([len(x) for x in texts], _BLOCK_CHARS):
@@ -62,8 +62,14 @@ def hashed_features(texts: Sequence[str], bits: int, grams: Sequence[int], lette
         for n in prefixes:
             longer = starts[ends - starts > n]
             found.append((longer, span_hashes(codes, longer, longer + n) * U(0x9E3779B97F4A7C15 + 2 * n) >> U(64 - bits)))
-        for lag in lags:
-            near = np.flatnonzero(row[starts[lag:] - 1] == row[starts[:-lag] - 1]) + lag
-            same = words[near] == words[near - lag]
-            found.append((starts[near], np.where(same, U(2 * lag + 1), U(2 * lag))))
+        for n in sorted({*word_grams, *patterns}):
+            first = np.flatnonzero(row[starts[n - 1 :] - 1] == row[starts[: len(starts) - n + 1] - 1])
+            total, places = np.zeros(len(first), U), np.full(len(first), n, U)
+            for k in range(n):
+                total = mix(total + words[first + k])
+                place = np.full(len(first), k, U)
+                for j in range(k - 1, -1, -1):
+                    place[words[first + j] == words[first + k]] = j
+                places = places * U(n + 1) + place
+            found += [(starts[first], h >> U(64 - bits)) for h, asked in ((total, word_grams), (mix(places), patterns)) if n in asked]
         yield a, b, np.concatenate([row[at - 1] for at, _ in found]), np.concatenate([h for _, h in found]).astype(np.int64)

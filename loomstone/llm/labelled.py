@@ -15,10 +15,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFra
     """(doc_id, text, y) of at most `most` labelled documents that aren't held out.
 
     They are those with the smallest hash of doc_id, so reruns agree. A doc_id labelled more than
-    once counts with its largest label; null labels don't count. Only this bounded list of ids
-    is broadcast; the texts are read where they lie.
+    once counts with its largest label, one with several texts with the smallest text; null labels don't count. So the
+    sample has `most` rows at most, whole texts of any length. Only this bounded list of ids is broadcast; the texts are read where they
+    lie.
     """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out())
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")

@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Learned vectors of hashed words, word repeats and character n-grams are averaged over a document and go
+Learned vectors of hashed words, word n-grams, patterns of word n-grams and character n-grams are averaged over a document and go
 through a linear softmax. Features of a bounded sample of labelled
 documents are taken in parallel and fitted by stochastic gradient descent in numpy, in one task; scored in parallel over whole texts.
 """
@@ -20,7 +20,7 @@ from loomstone.llm.runtime import small_batches
 
 #: Labelled documents that training reads at most.
 MAX_TRAIN_ROWS = 4000
-BITS, DIM, GRAMS, LAGS, EPOCHS, BATCH, RATE, SEED = 17, 10, (3, 4), (1, 2, 3), 8, 16, 1.0, 11
+BITS, DIM, GRAMS, WORD_GRAMS, PATTERNS, EPOCHS, BATCH, RATE, SEED = 17, 10, (3, 4), (2,), (3,), 8, 16, 1.0, 11
 #: Zero vectors that each average holds besides a text's own, so that a few words don't decide alone.
 PRIOR = 20
 
@@ -28,7 +28,7 @@ PRIOR = 20
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(buckets, shares) of each text: shares of all its features and the prior's."""
     out = []
-    for a, b, row, bucket in hashed_features(texts, BITS, GRAMS, letters_only=False, lags=LAGS):
+    for a, b, row, bucket in hashed_features(texts, BITS, GRAMS, letters_only=False, word_grams=WORD_GRAMS, patterns=PATTERNS):
         order = np.lexsort((bucket, row))
         row, bucket = row[order], bucket[order]
         cut = np.searchsorted(row, np.arange(b - a + 1))
@@ -105,7 +105,7 @@ def scorer(spark, model: np.ndarray):
         for texts in batches:
             texts = texts.fillna("").tolist()
             out = np.full(len(texts), bias)
-            for a, b, row, bucket in hashed_features(texts, BITS, GRAMS, letters_only=False, lags=LAGS):
+            for a, b, row, bucket in hashed_features(texts, BITS, GRAMS, letters_only=False, word_grams=WORD_GRAMS, patterns=PATTERNS):
                 n = np.bincount(row, minlength=b - a)
                 out[a:b] += np.bincount(row, value[bucket], minlength=b - a) / (PRIOR + n)
             yield pd.Series(1 / (1 + np.exp(-np.clip(out, -30, 30))))

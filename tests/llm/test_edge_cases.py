@@ -140,7 +140,7 @@ def test_mixing(docs):
     for r in out:
         total.setdefault((r.source_size, r.target), 0)
         total[r.source_size, r.target] += r.taken
-    assert all(abs(taken - target) <= mixing.BLOCK_WORDS for (_, target), taken in total.items())
+    assert all(abs(taken - target) <= max(1, size / mixing.LEAST_BLOCKS) for (size, target), taken in total.items())
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == sorted(map(tuple, out), key=str)
     texts_out = mixing.mixed_documents(docs)
     assert texts_out.columns == docs.columns
