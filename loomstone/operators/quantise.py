@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,24 +15,29 @@ def largest(x: Column) -> Column:
     return F.array_max(F.transform(x, F.abs))
 
 
+def _scaled(x: Column, one: Callable[[Column, Column], Column]) -> Column:
+    """x with one(component, largest magnitude) for each component; a zero vector stays. The magnitude is bound as
+    the element of an array of one, so that it is found once and not for each component."""
+    return F.transform(F.array(largest(x)), lambda top: F.when(top == 0, x).otherwise(F.transform(x, lambda v: one(v, top))))[0]
+
+
 def symmetric(x: Column, bits: int) -> Column:
     """Each component at the nearest of 2**bits levels spread evenly over [-max, max]; a zero vector stays."""
-    k, top = (1 << bits) - 1, largest(x)
-    return F.when(top == 0, x).otherwise(F.transform(x, lambda v: F.floor((v + top) / (2 * top) * k + 0.5) * 2 * top / k - top))
+    k = (1 << bits) - 1
+    return _scaled(x, lambda v, top: F.floor((v + top) / (2 * top) * k + 0.5) * 2 * top / k - top)
 
 
 def fp4(x: Column) -> Column:
     """Each component at the nearest signed magnitude, scaled so that the largest component is exact; ties go up."""
-    top = largest(x)
 
-    def one(v: Column) -> Column:
+    def one(v: Column, top: Column) -> Column:
         a = F.abs(v) * FP4_MAGNITUDES[-1] / top
         near = F.lit(FP4_MAGNITUDES[-1])
         for low, high in reversed(list(zip(FP4_MAGNITUDES, FP4_MAGNITUDES[1:], strict=False))):
             near = F.when(a < (low + high) / 2, F.lit(low)).otherwise(near)
         return F.signum(v) * top / FP4_MAGNITUDES[-1] * near
 
-    return F.when(top == 0, x).otherwise(F.transform(x, one))
+    return _scaled(x, one)
 
 
 def rms_error(x: Column, y: Column) -> Column:
