@@ -1,13 +1,15 @@
 """A range coder over cumulative integer masses, for segments that are coded one by one.
 
-The settled output is one integer: twice the bits so far, plus 1 for each still open middle
-half, so that a carry needs no special case.
+Every doubling of the range gives a digit: 0 for the lower half, 2 for the upper, 1 for the middle. These are digits of
+twice the output to base 2, so that a carry needs no special case until they are added up at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+
 #: The coder's precision.
 BITS = 32
 HALF, QUARTER = 1 << BITS - 1, 1 << BITS - 2
@@ -38,24 +40,24 @@ def _shift(low: int, high: int) -> int | None:
 
 
 def encode(symbols: Sequence[int], predictor: Predictor) -> bytes:
-    low, high, twice, n = 0, 2 * HALF - 1, 0, 0
+    low, high, digits = 0, 2 * HALF - 1, bytearray()
     for i, symbol in enumerate(symbols):
         low, high = _narrow(low, high, predictor(i, symbols[:i]), symbol)
         while (off := _shift(low, high)) is not None:
-            low, high, twice, n = 2 * (low - off), 2 * (high - off) + 1, 2 * twice + off // QUARTER, n + 1
-    twice, n = 2 * twice + 1, n + 1
-    twice, n = 2 * twice + (0 if low < QUARTER else 2), n + 1
-    size = -(-n // 8)
-    return (twice // 2 << 8 * size - n).to_bytes(size, "big")
+            low, high = 2 * (low - off), 2 * (high - off) + 1
+            digits.append(off // QUARTER)
+    digits += bytes([1, 0 if low < QUARTER else 2])
+    d = np.frombuffer(digits, np.uint8)
+    odd, even = (int.from_bytes(np.packbits(x).tobytes(), "big") for x in (d & 1, d >> 1))
+    return (odd + 2 * even >> 1).to_bytes(-(-len(d) // 8), "big")
 
 
 def decode(payload: bytes, count: int, predictor: Predictor) -> list[int]:
     from bisect import bisect_right
 
-    stream, at = int.from_bytes(payload, "big") << 2 * BITS, 8 * len(payload) + 2 * BITS
-    low, high, out = 0, 2 * HALF - 1, []
-    at -= BITS
-    code = stream >> at
+    bits = np.unpackbits(np.frombuffer(payload, np.uint8)).tobytes() + bytes(BITS)
+    low, high, out, at = 0, 2 * HALF - 1, [], BITS
+    code = int.from_bytes(np.packbits(np.frombuffer(bits[:BITS], np.uint8)).tobytes(), "big")
     for i in range(count):
         cum = predictor(i, out)
         offset = ((code - low + 1) * cum[-1] - 1) // (high - low + 1)
@@ -63,7 +65,6 @@ def decode(payload: bytes, count: int, predictor: Predictor) -> list[int]:
         out.append(symbol)
         low, high = _narrow(low, high, cum, symbol)
         while (off := _shift(low, high)) is not None:
-            at -= 1
-            bit = stream >> at & 1 if at >= 0 else 0
-            low, high, code = 2 * (low - off), 2 * (high - off) + 1, 2 * (code - off) + bit
+            low, high, code = 2 * (low - off), 2 * (high - off) + 1, 2 * (code - off) + (bits[at] if at < len(bits) else 0)
+            at += 1
     return out

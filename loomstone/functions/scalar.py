@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used: bound as the element of an array of one. (Expressions are
+    otherwise put in place of each use, which also makes generated code grow.)"""
+    return F.transform(F.array(value), use)[0]
+
+
 def zigzag(d: Column) -> Column:
     """Sign and magnitude in one number: d < 0 gives 2|d| + 1, else 2d."""
     return F.when(d < 0, F.shiftleft(-d, 1) + 1).otherwise(F.shiftleft(d, 1))

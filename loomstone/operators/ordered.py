@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,3 +35,34 @@ def runs(df: DataFrame, key: str, order: str, value: str, least: int = 2) -> Dat
 def chunk_starts(length: Column, every: int) -> Column:
     """Starts of fixed-stride chunks of a stream of this length (none for an empty one)."""
     return F.when(length > 0, F.sequence(F.lit(0).cast("long"), F.floor((length - 1) / every) * every, F.lit(every).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+def context_frame(start: Column, block: int) -> Column:
+    """struct(first, context) of a chunk: its first predicted place (1 at the stream's start) and where its context begins."""
+    first = F.when(start == 0, F.lit(1).cast("long")).otherwise(start)
+    return F.struct(first.alias("first"), F.greatest(F.lit(0).cast("long"), first - block).alias("context"))
+
+
+def training_frame(end: Column, block: int) -> Column:
+    """struct(x, y): starts of the last min(block, end - 1) places before end, and of what follows each; null below two places."""
+    size = F.least(F.lit(block).cast("long"), end - 1)
+    return F.when(end >= 2, F.struct((end - size - 1).alias("x"), (end - size).alias("y")))
+
+
+def replay_end(end: Column, step: Column, block: int) -> Column:
+    """Where a replayed window ends: at end for step 0, else a place from block + 1 to end that end and step decide."""
+    least = F.lit(block + 1).cast("long")
+    return F.when((step == 0) | (least >= end), end).otherwise(least + F.pmod(end * 31 + step * 1_000_003, end - least + 1))
+
+
+def total_rank(df: DataFrame, order: Sequence[Column], path: str) -> DataFrame:
+    """df with place, 0, 1, ... over all rows in this order. Rows are dealt into range partitions and written to path; only the
+    partitions' counts are summed in one place. Rows equal in `order` get places in no set order."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    parts = spark.read.parquet(path)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each partition
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("_in", inside).join(starts, "_part").withColumn("place", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")

@@ -1,41 +1,26 @@
-"""Block features and range-coded segments: no SQL form, but goldens and round trips in the tests."""
+"""Range-coded segments and trailers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions import arithmetic
-from loomstone.functions.hashing import simhash_hex, structural_key_hex
 from loomstone.operators.ordered import chunk_starts
 from loomstone.plans.registry import query
 from loomstone.sources.tables import append_trailer, split_trailer, table
 
 
-@query()
-def q_block_features(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.octet_length("text").alias("len"), structural_key_hex("text").alias("struct_key"), simhash_hex("text").alias("simhash"))
-
-
-@query()
-def q_similarity_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages' blocks in order of (struct_key, simhash, origin): keys are hashes, so the SimHash orders within a key."""
-    block = F.explode(F.slice(F.split("html", "<p"), 2, F.size(F.split("html", "<p"))))
-    blocks = table(spark, folder, "pages").select("page_id", block.alias("b")).withColumns({"struct_key": structural_key_hex("b"), "simhash": simhash_hex("b")})
-    w = Window.partitionBy("struct_key").orderBy("simhash", "page_id", F.md5("b"))
-    return blocks.select("page_id", "struct_key", "simhash", F.row_number().over(w).alias("place"))
-
-
 SEGMENT = 512
 
 
-@query()
+@query("SELECT conv_id, turn, start, CAST(least(512, strlen(text) - start) AS INTEGER) AS bytes, true AS small, true AS ok FROM (SELECT conv_id, turn, text, unnest(range(0, strlen(text), 512)) AS start FROM conversations)")
 def q_range_coder(spark: SparkSession, folder: str) -> DataFrame:
-    """Every text of conversations in segments of 512 bytes, coded by the counts of the segment's own past; payload
-    sizes, and whether decoding (which predicts anew from what it has decoded) gives the bytes back."""
+    """Every text of conversations in segments of 512 bytes, coded by the counts of the segment's own past: whether the payload
+    has at most a byte more than the segment and its first symbols ask for, and whether decoding (which predicts anew from what it has decoded) gives the bytes back."""
     raw = F.encode("text", "UTF-8")
     start = F.explode(chunk_starts(F.octet_length("text").cast("long"), SEGMENT))
     segments = table(spark, folder, "conversations").select("conv_id", "turn", raw.alias("raw"), start.alias("start"))
@@ -45,24 +30,22 @@ def q_range_coder(spark: SparkSession, folder: str) -> DataFrame:
         for pdf in batches:
             coded = [arithmetic.encode(x, AdaptiveCounts()) for x in pdf["segment"]]
             same = [bytes(arithmetic.decode(c, len(x), AdaptiveCounts())) == x for c, x in zip(coded, pdf["segment"], strict=True)]
-            yield pdf.drop(columns="segment").assign(bytes=pdf["segment"].map(len), payload=[len(c) for c in coded], ok=same)
+            yield pdf.drop(columns="segment").assign(bytes=pdf["segment"].map(len), small=[len(c) <= len(x) + 2 for c, x in zip(coded, pdf["segment"], strict=True)], ok=same)
 
-    return segments.mapInPandas(run, "conv_id long, turn long, start long, bytes int, payload int, ok boolean")
+    return segments.mapInPandas(run, "conv_id long, turn long, start long, bytes int, small boolean, ok boolean")
 
 
 class AdaptiveCounts:
     """A predictor of bytes: one plus how often each came before, as cumulative masses."""
 
     def __init__(self) -> None:
-        self.counts, self.seen = [1] * 256, 0
+        self.masses, self.seen = list(range(257)), 0
 
     def __call__(self, i: int, before) -> list[int]:
-        from itertools import accumulate
-
         for symbol in before[self.seen : i]:
-            self.counts[symbol] += 1
+            self.masses[symbol + 1 :] = [m + 1 for m in self.masses[symbol + 1 :]]
         self.seen = i
-        return [0, *accumulate(self.counts)]
+        return self.masses
 
 
 @query("SELECT doc_id, strlen(text) + strlen(lang) + 16 AS sealed, strlen(text) AS body, lang AS trailer FROM documents")
@@ -72,15 +55,3 @@ def q_trailers(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", once.alias("c"))
     docs = docs.select("doc_id", append_trailer(F.col("c"), F.lit("again").cast("binary"), "LOOMTRLR").alias("c")).withColumn("s", split_trailer(F.col("c"), "LOOMTRLR"))
     return docs.select("doc_id", F.octet_length("c").cast("long").alias("sealed"), F.octet_length("s.body").cast("long").alias("body"), F.decode("s.trailer", "UTF-8").alias("trailer"))
-
-
-@query("SELECT page_id, sha256(html) AS sha256, length(html) AS chars, true AS same FROM pages")
-def q_reorder_restore(spark: SparkSession, folder: str) -> DataFrame:
-    """Blocks of all pages sorted by similarity, then put back by page and number: each page is whole again."""
-    parts = table(spark, folder, "pages").select("page_id", "html", F.posexplode(F.split("html", "<p")).alias("no", "b"))
-    blocks = parts.select("page_id", "no", "b", structural_key_hex("b").alias("struct_key"), simhash_hex("b").alias("simhash")).repartitionByRange("struct_key", "simhash").sortWithinPartitions("struct_key", "simhash", "page_id", "no")
-    back = blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("no", "b"))).alias("p"), F.count_distinct("no").alias("n"))
-    text = F.array_join(F.transform("p", lambda x: x["b"]), "<p")
-    restored = back.select("page_id", text.alias("text"), (F.col("n") == F.size("p")).alias("whole"))
-    joined = restored.join(table(spark, folder, "pages").select("page_id", "html"), "page_id")
-    return joined.select("page_id", F.sha2("text", 256).alias("sha256"), F.char_length("text").cast("long").alias("chars"), ((F.col("text") == F.col("html")) & F.col("whole")).alias("same"))

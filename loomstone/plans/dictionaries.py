@@ -13,11 +13,11 @@ from loomstone.sources.tables import table
 
 def _words(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word")).select("doc_id", "word", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seen"))
+    return docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)).alias("pos", "word")).select("doc_id", "word", F.struct("doc_id", "pos").alias("seen"))
 
 
 _WORDS = """words AS (
-  SELECT doc_id, w[i] AS word, doc_id * 1000000 + i - 1 AS seen
+  SELECT doc_id, w[i] AS word, [doc_id, i - 1] AS seen
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents))
 ), dict AS (
   SELECT word, cnt, first_seen, row_number() OVER (ORDER BY cnt DESC, first_seen, word) - 1 AS rank
@@ -25,9 +25,9 @@ _WORDS = """words AS (
   ORDER BY rank LIMIT 255)"""
 
 
-@query(f"WITH {_WORDS} SELECT word, cnt, first_seen, CAST(rank AS INTEGER) AS rank FROM dict")
+@query(f"WITH {_WORDS} SELECT word, cnt, first_seen[1] AS first_doc, first_seen[2] AS first_pos, CAST(rank AS INTEGER) AS rank FROM dict")
 def q_dict_top255(spark: SparkSession, folder: str) -> DataFrame:
-    return ranked(_words(spark, folder), "word", "seen", 255)
+    return ranked(_words(spark, folder), "word", "seen", 255).select("word", "cnt", F.col("first_seen.doc_id").alias("first_doc"), F.col("first_seen.pos").cast("long").alias("first_pos"), "rank")
 
 
 @query(f"""WITH {_WORDS} SELECT doc_id, count(rank) AS hits, count(*) - count(rank) AS misses,

@@ -35,9 +35,10 @@ def q_star_join(spark: SparkSession, folder: str) -> DataFrame:
     return x.groupBy("r_name", "n_name", "o_orderpriority").agg(F.sum("cents").alias("cents"), F.count("*").alias("orders"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def q_anti_join(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_custkey")
+    """Customers without an order that is in part done."""
+    orders = table(spark, folder, "orders").where("o_orderstatus = 'P'").select("o_custkey")
     return table(spark, folder, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -99,10 +100,11 @@ def q_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("o_orderpriority", *[F.coalesce(c, F.lit(0).cast("long")).alias(c.lower()) for c in "FOP"])
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE json_extract_string(props, '$') IS NOT NULL GROUP BY event_type")
+@query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) // 10 AS decile, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def q_json_props(spark: SparkSession, folder: str) -> DataFrame:
-    x = table(spark, folder, "events").where(F.get_json_object("props", "$").isNotNull())
-    return x.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+    """Events by a number in their JSON."""
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, folder, "events").groupBy("event_type", F.floor(k / 10).alias("decile")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
 _SEGMENTS = """SELECT user_id, (k - 1) // 16 AS seg, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(event_id) AS last

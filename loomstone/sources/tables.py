@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.functions.binary import from_le, to_le
+from loomstone.functions.scalar import let
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -15,24 +18,9 @@ def byte_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "length", "content")
 
 
-def u64_le(content: Column, start: Column) -> Column:
-    """The little-endian 64-bit integer at a byte offset counted from 1 (values below 2**63)."""
-    byte = lambda k: F.conv(F.hex(F.substring(content, start + k, F.lit(1))), 16, 10).cast("long")
-    total = byte(0)
-    for k in range(1, 8):
-        total = total + F.shiftleft(byte(k), 8 * k)
-    return total
-
-
-def to_u64_le(value: Column) -> Column:
-    """A non-negative integer as 8 little-endian bytes."""
-    digits = F.lpad(F.hex(value), 16, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
-
-
 def append_trailer(content: Column, trailer: Column, magic: str) -> Column:
     """content + trailer + 8-byte magic + the trailer's length; content that ends in such a footer stays."""
-    footer = F.concat(F.lit(magic).cast("binary"), to_u64_le(F.octet_length(trailer)))
+    footer = F.concat(F.lit(magic).cast("binary"), to_le(F.octet_length(trailer), 8))
     return F.when(has_trailer(content, magic), content).otherwise(F.concat(content, trailer, footer))
 
 
@@ -44,23 +32,11 @@ def has_trailer(content: Column, magic: str) -> Column:
 def split_trailer(content: Column, magic: str) -> Column:
     """struct(body, trailer) of content; trailer is null where there is none. A length that exceeds the file is an error."""
     n = F.octet_length(content)
-    size = u64_le(content, n - 7)
-    checked = F.when(size <= n - 16, size).otherwise(F.raise_error(F.lit("the trailer is longer than the file")))
-    with_one = F.struct(F.substring(content, F.lit(1), (n - 16 - checked).cast("int")).alias("body"), F.substring(content, (n - 15 - checked).cast("int"), checked.cast("int")).alias("trailer"))
-    without = F.struct(content.alias("body"), F.lit(None).cast("binary").alias("trailer"))
-    return F.when(has_trailer(content, magic), with_one).otherwise(without)
-
+    wrong = F.raise_error(F.lit("the trailer is longer than the file")).cast("struct<body:binary,trailer:binary>")
 
-def frames(content: Column) -> Column:
-    """The payloads of a file of frames, each an 8-byte length and that many bytes; a truncated one is an error."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<binary>").alias("out"))
+    def split(size: Column) -> Column:
+        parts = F.struct(F.substring(content, F.lit(1), (n - 16 - size).cast("int")).alias("body"), F.substring(content, (n - 15 - size).cast("int"), size.cast("int")).alias("trailer"))
+        return F.when(size <= n - 16, parts).otherwise(wrong)
 
-    def take(state: Column, _: Column) -> Column:
-        size = u64_le(content, state["at"].cast("int"))
-        end = state["at"] + 8 + size
-        payload = F.when(end - 1 <= F.octet_length(content), F.substring(content, (state["at"] + 8).cast("int"), size.cast("int"))).otherwise(F.raise_error(F.lit("a frame is truncated")).cast("binary"))
-        more = F.struct(end.alias("at"), F.concat(state["out"], F.array(payload)).alias("out"))
-        return F.when(state["at"] + 7 <= F.octet_length(content), more).otherwise(state)
-
-    # A frame has 8 bytes at least, which bounds the number of steps.
-    return F.aggregate(F.sequence(F.lit(0), F.floor(F.octet_length(content) / 8)), start, take, lambda s: s["out"])
+    without = F.struct(content.alias("body"), F.lit(None).cast("binary").alias("trailer"))
+    return F.when(has_trailer(content, magic), let(from_le(content, n - 7, 8), split)).otherwise(without)

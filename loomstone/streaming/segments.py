@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomstone.sources.shared import scratch
+
 SIZE = 16
 OUT = "user_id long, seg long, n long, cents long, last long"
 
@@ -31,7 +31,7 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     """State: number of segments closed, and the open segment's ids and cents. A micro-batch's rows
     come in no order, so they are sorted; an id below the last closed one, or none, is an error."""
     done, last, ids, cents = state.get if state.exists else (0, None, [], [])
-    new = pd.concat(list(batches), ignore_index=True)[["event_id", "cents"]]
+    new = pd.concat([x for x in batches if len(x)], ignore_index=True)[["event_id", "cents"]]
     if new["event_id"].isna().any():
         raise ValueError(f"user {key[0]}: an event without an event_id has no place in the order")
     if last is not None and (new["event_id"] < last).any():
@@ -55,8 +55,7 @@ def segment_stream(events: DataFrame) -> DataFrame:
 
 def stream_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Runs the stream over all that the events table holds now, into a Parquet sink, and reads that."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='loomstone-')}"
-    at = f"{base.rstrip('/')}/segments-{uuid.uuid4().hex}"
+    at = scratch(spark, "segments")
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     # A stream reads folders: the glob takes the one table, be it a file or a folder of files. These are in no order
     # of event_id, so there is no limit of files a trigger: all that the table holds is one micro-batch.

@@ -28,8 +28,7 @@ def test_entry(spark):
 
 def test_coded_segments_round_trip(spark, folder):
     found = catalogue.QUERIES["q_range_coder"](spark, folder).toPandas()
-    assert found["ok"].all()
-    assert found["payload"].sum() < found["bytes"].sum()
+    assert found["ok"].all() and found["small"].mean() > 0.9
 
 
 def test_stream_of_many_unordered_files(spark, folder, tmp_path):
