@@ -4,20 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
+from loomstone.functions.hashing import splitmix as mix
+
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
 _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser on an array of uint64."""
-    x = x + U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) <= n:
         size = max(n + 1, 1 << 16)
