@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomstone.llm.hashing import U, blocks, mix, span_hashes
-from loomstone.llm.runtime import small_batches, text_bytes
+from loomstone.llm.runtime import lean, partitions, small_batches, text_bytes
 
 MIN, NORMAL, MAX, STRICT_BITS, LOOSE_BITS = 16, 32, 128, 6, 4
 _GEAR = (mix(np.arange(256, dtype=U)) >> U(48)).astype(np.uint16)
@@ -107,42 +107,63 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+#: Blocks at most: the driver holds a cut, and a first document's id and hash, for each.
+MOST_BLOCKS = 100_000
+
+
 def in_order(docs: DataFrame) -> DataFrame:
-    """(block, copy, id, text): documents by descending id, cut into blocks of about ORDER_BYTES.
+    """(block, copy, id, text): documents by descending id, then by hash and text, cut into blocks of about ORDER_BYTES (more, if there
+    would be over MOST_BLOCKS).
 
-    Each block ends with copies of the first documents of the next block (after the last: of the
-    first), so that every document meets its follower in its own block. Only the cuts and each block's
-    largest id pass the driver: a few bytes for each ORDER_BYTES of text.
+    Each block ends with copies of the first document of the next block (after the last: of the
+    first), so that every document meets its follower in its own block. Cuts are places in the order of ids; an id that would
+    fill a block or more by itself (null, say) is cut by the hash of its texts as well. Equal rows can't be cut.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), text_bytes(rows) // ORDER_BYTES)
-    cuts = rows.agg(F.percentile_approx("id", [(i + 1) / n for i in range(n - 1)] or [0.5], 100_000)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n = min(MOST_BLOCKS, partitions(spark, text_bytes(rows), ORDER_BYTES))
+    total = rows.count()
+    hot = dict(rows.groupBy("id").agg(F.count("*").alias("c")).where(F.col("c") > max(2, total // n)).select("id", F.ceil(F.col("c") * n / max(1, total)).cast("int")).collect())
+    cuts = rows.agg(F.percentile_approx("id", [(i + 1) / n for i in range(n - 1)] or [0.5], MOST_BLOCKS)).first()[0] or []
+    cuts = np.unique(np.array([*cuts, *hot, *(i - 1 for i in hot if i > -(2**63))], np.int64))
+    width = np.ones(len(cuts) + 1, np.int64)
+    for i, k in hot.items():
+        width[np.searchsorted(cuts, i, side="left")] = k
+    first_block = np.cumsum(width) - width
+
+    def numbered(ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Blocks count upward with ids and, within a cut id, downward with hashes: the order runs from the last block to the first."""
+        at = np.searchsorted(cuts, ids, side="left")
+        share = (hashes.astype(np.uint64) + np.uint64(1 << 63)) >> np.uint64(32)
+        inner = (share * width[at].astype(np.uint64)) >> np.uint64(32)
+        return first_block[at] + width[at] - 1 - inner.astype(np.int64)
 
     @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="left").astype(np.int32))
+    def block_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(numbered(ids.to_numpy(), hashes.to_numpy()).astype(np.int32))
 
-    most = {b: i for b, i in rows.select("id").groupBy(block_of("id").alias("b")).agg(F.max("id")).collect()}
-    full = sorted(most)
-    follower = {most[full[k - 1]]: full[k] for k in range(len(full))}  # k - 1 = -1: the largest id follows the last
+    heads = rows.select("id", "h").groupBy(block_of("id", "h").alias("b")).agg(F.max(F.struct("id", F.bitwise_not("h").alias("h"))).alias("m"))
+    first = {r.b: (r.m.id, ~r.m.h) for r in heads.collect()}
+    full = sorted(first)
+    follower = {first[full[k - 1]]: full[k] for k in range(len(full))}  # k - 1 = -1: the order's first document follows its last
 
     @F.pandas_udf("array<struct<block:int,copy:int>>")
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, ids.to_numpy(), side="left")
-        return pd.Series([[{"block": int(b), "copy": 0}, *([{"block": follower[i], "copy": 1}] if i in follower else [])] for i, b in zip(ids.tolist(), own, strict=True)])
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = numbered(ids.to_numpy(), hashes.to_numpy())
+        return pd.Series([[{"block": int(b), "copy": 0}, *([{"block": follower[k], "copy": 1}] if k in follower else [])] for k, b in zip(zip(ids.tolist(), hashes.tolist(), strict=True), own, strict=True)])
 
-    spread = rows.withColumn("at", F.explode(places("id"))).select("at.block", "at.copy", "id", "text")
-    return spread.repartition(n, "block").sortWithinPartitions("block", "copy", F.desc("id"), "text")
+    spread = rows.withColumn("at", F.explode(places("id", "h"))).select("at.block", "at.copy", "id", "h", "text")
+    # One partition for each block, so that none gets several.
+    dealt = spread.repartitionById(max(full, default=0) + 1, "block").sortWithinPartitions("copy", F.desc("id"), "h", "text")
+    return dealt.select("block", "copy", "id", "text")
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is the one that follows by descending doc_id, ties by text, null ids last;
-    after the last comes the first, and a single document follows itself. Null texts are empty. An empty
-    table gives no rows; further columns are ignored.
+    The next document is the one that follows by descending doc_id, ties by the text's hash and the text, null ids last;
+    after the last comes the first, and a single document follows itself. Null texts are empty. A very long text is
+    held whole, with its follower, by one task. An empty table gives no rows; further columns are ignored.
     """
     import hashlib
 
@@ -185,4 +206,4 @@ def compare(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs).mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
