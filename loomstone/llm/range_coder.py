@@ -20,7 +20,7 @@ import numpy as np
 BLOCK = 1024
 #: Bits of the window, of a word of output, of the least range, of mixed chances, and of an id's bits coded at once.
 _WINDOW, _WORD, _LEAST, _MIX, _RAW = 48, 16, 28, 14, 15
-_SLOTS, _KINDS = 1024, 32
+_SLOTS, _KINDS, _SIDE = 1024, 32, 32
 _TOP, _MASK, _LEAST_MASK = 1 << _WINDOW - _WORD, (1 << _WINDOW) - 1, (1 << _LEAST) - 1
 
 
@@ -94,11 +94,10 @@ def _found(counts: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Order0:
-    """How often each of a block's ids was coded here, summed by 256 and by 16 slots as well, so that
-    an interval is found in three short steps."""
+    """How often each of a block's ids was coded here, and sums of 32 of these counts, so that an interval is found in two short steps."""
 
     def __init__(self, lanes: int):
-        self.levels = [np.zeros((lanes * n, BLOCK // 256 if n == 1 else 16), np.int16) for n in (1, BLOCK // 256, BLOCK // 16)]
+        self.sums, self.counts = np.zeros((lanes, _SIDE), np.int16), np.zeros((lanes * _SIDE, _SIDE), np.int16)
         self.total, self.seen = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.kinds = np.ones((lanes, _KINDS), np.int16)
 
@@ -107,22 +106,19 @@ class Order0:
         return self.total + self.seen // 2 + 1
 
     def interval(self, lane: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, size = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
-        for counts, row, place in zip(self.levels, (lane, lane * (BLOCK // 256) + (slot >> 8), lane * (BLOCK // 16) + (slot >> 4)), (slot >> 8, slot >> 4 & 15, slot & 15), strict=True):
-            before, size = _interval(counts[row], place)
-            low += before
-        return low, size
+        group = slot // _SIDE
+        (low, _), (inner, size) = _interval(self.sums[lane], group), _interval(self.counts[lane * _SIDE + group], slot % _SIDE)
+        return low + inner, size
 
     def find(self, lane: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        slot, low = np.zeros(len(lane), np.int64), np.zeros(len(lane), np.int64)
-        for counts, wide in zip(self.levels, (1, BLOCK // 256, BLOCK // 16), strict=True):
-            place, before, size = _found(counts[lane * wide + slot], target - low)
-            slot, low = slot * 16 + place, low + before
-        return slot, low, size
+        group, low, _ = _found(self.sums[lane], target)
+        place, inner, size = _found(self.counts[lane * _SIDE + group], target - low)
+        return group * _SIDE + place, low + inner, size
 
     def add(self, lane: np.ndarray, slot: np.ndarray, is_new: np.ndarray) -> None:
-        for counts, row, place in zip(self.levels, (lane, lane * (BLOCK // 256) + (slot >> 8), lane * (BLOCK // 16) + (slot >> 4)), (slot >> 8, slot >> 4 & 15, slot & 15), strict=True):
-            counts[row, place] += 1
+        group = slot // _SIDE
+        self.sums[lane, group] += 1
+        self.counts[lane * _SIDE + group, slot % _SIDE] += 1
         self.seen[lane] += is_new
         self.total[lane] += 1
 
@@ -168,8 +164,8 @@ def _run(lanes: int, steps: int, coder: Coder, table: np.ndarray | None) -> np.n
     name_of = np.zeros((lanes, BLOCK), np.int32)
     # What followed a context, of order 2 and of order 1, as its slot plus 1, and above 12 bits how often in a row.
     guess, base = np.zeros(2 * lanes * _SLOTS, np.int16), np.array([every, every + lanes]) * _SLOTS
-    # By context the chances of order 2 and of order 1 in 2**-16; and the mixing weights of the three estimates.
-    chance, context = np.full((2, 3 * lanes * 16), 12000, np.int32), np.array([every, every + lanes, every + 2 * lanes]) * 16
+    # By context the chances of order 2 and, above its 16 bits, of order 1, in 2**-16; and the mixing weights of the three estimates.
+    chance, context = np.full(3 * lanes * 16, 12000 | 12000 << 16, np.uint32), np.array([every, every + lanes, every + 2 * lanes]) * 16
     weight = np.full((3, lanes), 64, np.int32)
     one, two, history = (np.zeros(lanes, np.int64) for _ in range(3))
     for k in range(steps):
@@ -180,7 +176,8 @@ def _run(lanes: int, steps: int, coder: Coder, table: np.ndarray | None) -> np.n
         near = context.copy()
         near[:2] += c * 2 + (g[0] == g[1])
         near[2] += history
-        p = chance[:, near]
+        both = chance[near]
+        p = np.array([both & 0xFFFF, both >> 16], np.int32)
         mixed = (weight * p).sum(axis=1) // weight.sum(axis=0) >> 16 - _MIX
         np.minimum(np.maximum(mixed, 16, out=mixed), 8000, out=mixed)
         all0 = order0.totals()
@@ -219,7 +216,8 @@ def _run(lanes: int, steps: int, coder: Coder, table: np.ndarray | None) -> np.n
         coder.step(every, low, size, all0 << _MIX)
         if len(new):
             names = order0.new(coder, new, None if table is None else table[new, k].astype(np.int64))
-            name_of[new, order0.seen[new]] = names
+            if slots is None:
+                name_of[new, order0.seen[new]] = names
         if len(lost):
             order0.add(lost, slot, is_new)
         if slots is None:
@@ -231,7 +229,7 @@ def _run(lanes: int, steps: int, coder: Coder, table: np.ndarray | None) -> np.n
         p -= p >> 5
         for o in (0, 1):
             p[o] += hits[o] * np.int32(2000)
-        chance[:, near] = p
+        chance[near] = p[0] | p[1] << 16
         guess[at] = x + (np.where(g == x, np.minimum(c + 1, 7), 1) << 12)
         history = (history * 3 + won) % 9
         one, two = x.astype(np.int64), one

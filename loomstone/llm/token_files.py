@@ -55,31 +55,58 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class _Words:
+    """Ids of words that a worker has met: where each one's ids lie in one array."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str], ids: list[list[int]]) -> None:
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+        self.counts = np.append(self.counts, counts)
+        self.ids = np.append(self.ids, np.array([x for own in ids for x in own], np.int32))
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All words' ids, and how many each word has."""
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[at] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
+
 @lru_cache(maxsize=2)
-def _known(path: str) -> dict[str, list[int]]:
-    return {}
+def _known(path: str) -> list[_Words]:
+    return [_Words()]
 
 
-def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[list[int]]:
+def encode_texts(texts: list[str], path: str, by_word: bool = True) -> list[np.ndarray]:
     """Ids of each text by the tokenizers library, without added special tokens.
 
     The vocabulary of the default path splits into words before its merges. by_word uses that: in
     texts of plain characters each distinct word goes through the library once and is then known.
     """
     own = _tokenizer(path)
-    out: list[list[int] | None] = [None] * len(texts)
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
     plain = [i for i, t in enumerate(texts) if by_word and "<|" not in t and _PLAIN.fullmatch(t)]
     other = sorted(set(range(len(texts))) - set(plain))
     for i, e in zip(other, own.encode_batch_fast([texts[i] for i in other], add_special_tokens=False), strict=True):
-        out[i] = e.ids
-    known = _known(path)
-    if len(known) > _CACHED:
-        known.clear()
-    words = {i: _PIECE.findall(texts[i].lower()) for i in plain}
-    new = sorted(set().union(*words.values()) - known.keys()) if words else []
-    known.update(zip(new, (e.ids for e in own.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-    for i, w in words.items():
-        out[i] = [x for ids in map(known.__getitem__, w) for x in ids]
+        out[i] = np.array(e.ids, np.int32)
+    split = [_PIECE.findall(texts[i].lower()) for i in plain]
+    words = [w for x in split for w in x]
+    if not words:
+        return out
+    if len(_known(path)[0].place) > _CACHED:
+        _known(path)[0] = _Words()
+    known = _known(path)[0]
+    if new := sorted(set(words) - known.place.keys()):
+        known.learn(new, [e.ids for e in own.encode_batch_fast(new, add_special_tokens=False)])
+    ids, counts = known.ids_of(words)
+    ends = np.append(0, np.cumsum(counts))[np.cumsum([0, *map(len, split)])]
+    for i, a, b in zip(plain, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        out[i] = ids[a:b]
     return out
 
 
@@ -99,16 +126,16 @@ def text_ids(texts: list[str | None], path: str, by_word: bool) -> Iterator[np.n
     for text in texts:
         text = text or ""
         if len(text) > _SLICE and by_word:
-            yield from (np.array(x, np.int32) for x in encode_texts(held, path, by_word))
+            yield from encode_texts(held, path, by_word)
             held, size = [], 0
-            yield np.concatenate([np.array(encode_texts([t], path, by_word)[0], np.int32) for t in _cuts(text)])
+            yield np.concatenate([encode_texts([t], path, by_word)[0] for t in _cuts(text)])
             continue
         held.append(text)
         size += len(text)
         if len(held) >= _TEXTS or size > _SLICE:
-            yield from (np.array(x, np.int32) for x in encode_texts(held, path, by_word))
+            yield from encode_texts(held, path, by_word)
             held, size = [], 0
-    yield from (np.array(x, np.int32) for x in encode_texts(held, path, by_word))
+    yield from encode_texts(held, path, by_word)
 
 
 _SEGMENT = "part int, seg int, n long, docs binary, doc_ids binary, no_id binary, lengths binary, payloads array<binary>, checksums array<long>"
