@@ -2,8 +2,10 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -79,19 +81,36 @@ def test_bpe(docs):
     assert bpe.digest(docs.limit(0)).count() == 0
 
 
+def check_order(out, rows):
+    """Documents by descending id, null last, then by the text's hash and the text: each one's edited text shows its follower."""
+    signed = lambda t: (x := xxhash.xxh64_intdigest(t.encode(), 42)) - (x >> 63 << 64)
+    ranked = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x[1]), x[1]))
+    made = Counter((i, len(t), hashlib.sha256(fingerprint.edited(t, ranked[(k + 1) % len(ranked)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(ranked))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in out) == made
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in out)
+
+
+def test_fingerprints_of_hot_ids(spark):
+    """A null id and one more with many texts each are spread over blocks, and the order holds across them."""
+    rows = [(None, f"text of nobody {i} " * 5) for i in range(150)] + [(7, f"seven {i} " * 5) for i in range(150)] + [(i, f"single {i}") for i in range(40)] + [(7, "same")] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_order(fingerprint.compare(frame).collect(), rows)
+    blocks = [r.c for r in fingerprint.in_order(frame).groupBy("block").agg(F.count("*").alias("c")).collect()]
+    assert len(blocks) > 3 and max(blocks) < 200
+
+
+def test_line_dedup_of_hot_ids(spark):
+    """Rows without an id are one document, each cut by itself."""
+    rows = [(None, f"{LINE}\n{LINE} again {i % 3}\nonly {i}") for i in range(60)] + [(i, f"{LINE}\n{LINE} again {i}") for i in range(3)]
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in out if r.doc_id is None) == sorted(f"{LINE} again {i % 3}\nonly {i}" for i in range(60))
+    assert {r.doc_id: r.text for r in out if r.doc_id is not None} == {0: f"{LINE} again 0", 1: f"{LINE} again 1", 2: f"{LINE}\n{LINE} again 2"}
+
+
 def test_fingerprints(docs):
     out = fingerprint.compare(docs).collect()
-    order = texts()[::-1]
     assert len(out) == len(ROWS)
-    known = {}
-    for k, (i, t) in enumerate(sorted(order, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))):
-        known.setdefault(i, []).append((k, t))
-    ranked = [t for _, t in sorted((k, t) for v in known.values() for k, t in v)]
-    for r in out:
-        options = [(t, ranked[(k + 1) % len(ranked)]) for k, t in known[r.doc_id]]
-        assert r.edited_sha256 in {hashlib.sha256(fingerprint.edited(t, n).encode()).hexdigest() for t, n in options}
-        assert r.fingerprint == fingerprint.written(fingerprint.chunk_sets([options[0][0].encode()])[0])
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+    check_order(out, [(i, t or "") for i, t, *_ in ROWS])
     single = fingerprint.compare(docs.where("doc_id = 6")).collect()
     assert single[0].near_next == 1
     assert fingerprint.compare(docs.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 """Results held against brute force, round trips, exact laws and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,9 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomstone.llm import bpe, fingerprint, jaccard, mixing, range_coder, token_files, toxicity
+from loomstone.llm import bpe, features, fingerprint, jaccard, mixing, quality, range_coder, token_files, toxicity
 from loomstone.llm.runtime import components
 from loomstone.llm.shingles import shingle_rows
 
@@ -145,6 +147,36 @@ def test_fingerprints(spark, texts):
     assert np.mean([r.near_edited > r.near_next for r in found.values()]) > 0.95
 
 
+def chunks_byte_by_byte(data):
+    """The chunker as it is described: a 16-bit gear hash over the last 16 bytes, a strict condition up to the normal size, a loose one after."""
+    gear = [int(x) for x in fingerprint._GEAR]
+    out, start = [], 0
+    for i in range(len(data)):
+        h = 0
+        for byte in data[max(0, i - 15) : i + 1]:
+            h = (h << 1) + gear[byte] & 0xFFFF
+        size = i + 1 - start
+        strict, loose = h >> 10 == 0, h >> 12 == 0
+        if i + 1 == len(data) or size >= 16 and (strict if size < 32 else loose) or size == 128:
+            out.append(bytes(data[start : i + 1]))
+            start = i + 1
+    return out
+
+
+def test_chunks_byte_by_byte(texts):
+    """Chunks of single texts, and the likeness of two texts from the chunks themselves."""
+    some = [t.encode()[:6000] for t in list(texts.values())[:40]] + [b"", b"a", b"a" * 1000, bytes(range(256)) * 4]
+    sets = fingerprint.chunk_sets(some)
+    cut = [chunks_byte_by_byte(t) for t in some]
+    for (digests, lengths), parts in zip(sets, cut, strict=True):
+        assert len(digests) == len(set(parts)) and sorted(lengths.tolist()) == sorted(map(len, set(parts)))
+    for i in range(len(some) - 1):
+        a, b = set(cut[i]), set(cut[i + 1])
+        least = min(sum(map(len, a)), sum(map(len, b)))
+        expected = sum(map(len, a & b)) / least if least else float(a == b)
+        assert fingerprint.likeness(sets[i], sets[i + 1]) == pytest.approx(expected)
+
+
 def test_chunks_resist_shifts():
     draw = random.Random(2)
     data = bytes(draw.randrange(97, 123) for _ in range(20_000))
@@ -266,8 +298,6 @@ def test_mixing_of_small_sources(spark):
 
 
 def test_mixing_permutation(spark):
-    from pyspark.sql import functions as F
-
     for n in (1, 2, 7, 100, 1000):
         out = [r.p for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit(17), F.lit("s")).alias("p")).collect()]
         assert sorted(out) == list(range(n))
@@ -325,3 +355,57 @@ def test_counterfactual_penalty_lowers_identity_weights():
         weights[penalty > 0] = float(toxicity.fit(made, y)[name].sum())
         toxicity.PENALTY = old
     assert weights[True] < 0.5 * weights[False]
+
+
+def slow_quality(text, model):
+    """The quality score feature by feature, from the classifier's one number for each bucket."""
+    total, n = 0.0, 0
+    for _, _, _, buckets in quality.hashed_features([text], quality.BITS, quality.GRAMS, letters_only=False, word_grams=quality.WORD_GRAMS, patterns=quality.PATTERNS):
+        for bucket in buckets.tolist():
+            total, n = total + float(model[bucket]), n + 1
+    return 1 / (1 + math.exp(-(total / (quality.PRIOR + n) + float(model[-1]))))
+
+
+def test_scores_one_text_at_a_time(spark, texts):
+    """Scores of batches equal those of texts alone; and a text's features are those that plain Python finds."""
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.train(docs, labels)
+    found = {r.doc_id: r.score for r in docs.select("doc_id", quality.scorer(spark, model)(F.col("text")).alias("score")).collect()}
+    for i in list(texts)[:60]:
+        assert found[i] == pytest.approx(slow_quality(texts[i], model), abs=1e-6)
+    weights = toxicity.train(docs, labels)
+    found = {r.doc_id: r.score for r in docs.select("doc_id", toxicity.scorer(spark, weights)(F.col("text")).alias("score")).collect()}
+    for i in list(texts)[:60]:
+        logit = float(weights[-1]) + sum(float(weights[x]) for x in set(toxicity._present([texts[i]])[0].tolist()))
+        assert found[i] == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-6)
+
+
+def test_features_against_plain_python():
+    """How many features of each kind a text has, and that equal words, grams and patterns share their buckets."""
+    for text in ("one two two one", "a", "", "x y\nx y x", "Ünï cödé ünï"):
+        words = text.split()
+        grams = sum(max(0, len(f" {text} ".replace("\n", " ")) - n + 1 - sum(1 for k in range(len(text) + 3 - n) if " " in f" {text} ".replace("\n", " ")[k + 1 : k + n - 1])) for n in (3,))
+        rows = [b for *_, b in features.hashed_features([text], 20, (), False)]
+        assert sum(map(len, rows)) == len(words) and len(set(np.concatenate(rows).tolist())) == len(set(words))
+        rows = [b for *_, b in features.hashed_features([text], 20, (3,), False)]
+        assert sum(map(len, rows)) == len(words) + grams
+        pairs = list(zip(words, words[1:], strict=False))
+        rows = [b for *_, b in features.hashed_features([text], 20, (), False, word_grams=(2,))]
+        assert sum(map(len, rows)) == len(words) + len(pairs) and len(set(np.concatenate(rows).tolist())) == len({*words, *pairs})
+        rows = [b for *_, b in features.hashed_features([text], 20, (), False, patterns=(2,))]
+        assert len(set(np.concatenate(rows).tolist())) == len({*words, *(a == b for a, b in pairs)})
+
+
+def test_neutral_mentions_are_left_alone(spark):
+    """Insults come with group terms in training; sentences that only mention a group must not score high, and the penalty is why."""
+    draw = random.Random(2)
+    terms = [t for group in toxicity.IDENTITY_TERMS for t in group]
+    plain = [f"w{k}" for k in range(60)]
+    say = lambda *extra: " ".join(draw.sample(plain, 8) + list(extra))
+    rows = [(say(draw.choice(terms), "vermin" if k % 4 else "scumbag"), 1) for k in range(150)] + [(say(), 0) for _ in range(400)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, y) for k, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    neutral = spark.createDataFrame([(k, say(draw.choice(terms), "met")) for k in range(200)], "doc_id long, text string")
+    scores = [r[0] for r in neutral.select(toxicity.scorer(spark, toxicity.train(docs, labels))(F.col("text"))).collect()]
+    assert np.mean(np.array(scores) >= 0.5) <= 0.02
