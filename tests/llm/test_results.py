@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from loomstone.llm import bpe, features, fingerprint, jaccard, mixing, quality, range_coder, token_files, toxicity
+from loomstone.llm import bpe, features, fingerprint, jaccard, mixing, neighbours, quality, range_coder, token_files, toxicity
 from loomstone.llm.runtime import components
 from loomstone.llm.shingles import shingle_rows
 
@@ -320,6 +320,30 @@ def test_neighbours(spark):
     assert hits / asked >= 0.95
 
 
+def test_neighbours_by_postings(spark, monkeypatch):
+    """Clustered vectors have near codes: they are found in the table of postings, and as well as by the blocks."""
+    draw = np.random.default_rng(4)
+    centres = draw.standard_normal((80, 32))
+    x = np.vstack([c + 0.05 * draw.standard_normal((12, 32)) for c in centres] + [draw.standard_normal((3, 32))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    probed, asked = [], neighbours._probed
+    monkeypatch.setattr(neighbours, "_probed", lambda *a: probed.append(1) or asked(*a))
+    found = {}
+    for r in neighbours.nearest(frame, F.pmod(F.col("vec_id"), F.lit(10)) == 0).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert probed and len(found) == -(-len(x) // 10) and all(sorted(v) == [1, 2, 3, 4, 5] for v in found.values())
+    x = x.astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, own in found.items():
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        best = np.lexsort((np.arange(len(x)), -cosine))[:5]
+        hits += len({v for v, _ in own.values()} & set(best.tolist()))
+        assert all(s == pytest.approx(cosine[v], abs=1e-12) for v, s in own.values())
+    assert hits / (5 * len(found)) >= 0.95
+
+
 @pytest.mark.parametrize(("prefix", "label", "least"), [("op1_", "toxic", 0.95), ("op8_", "quality", 0.97)])
 def test_held_out_accuracy(spark, prefix, label, least):
     folder = "/root/testdata/sf0.1"
