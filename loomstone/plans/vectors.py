@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.operators.quantise import fp4, rms_error, symmetric
+from loomstone.operators.ordered import total_rank
 from loomstone.plans.registry import query
+from loomstone.sources.shared import scratch
 from loomstone.sources.tables import table
 
 
@@ -46,7 +48,14 @@ SELECT label, bits, count(*) AS vectors, CAST(sum(n) AS BIGINT) AS numbers, CAST
 def q_quant_alloc(spark: SparkSession, folder: str) -> DataFrame:
     """Bits by the rank of a vector's error, and their weighted average, with subtotals."""
     e = _vectors(spark, folder).select("label", F.size("x").cast("long").alias("n"), F.round(rms_error(F.col("x"), symmetric(F.col("x"), 3)), 6).alias("rms"))
-    cuts = F.broadcast(e.agg(F.percentile("rms", 0.25).alias("lo"), F.percentile("rms", 0.75).alias("hi")))  # one row
+    # Quartiles from places over range partitions, so that no task holds all errors.
+    ranked = total_rank(e.select("rms"), [F.col("rms")], scratch(spark, "errors"))
+    top = F.broadcast(ranked.agg((F.count("*") - 1).alias("last")))  # one row
+    value = lambda at: F.max(F.when(F.col("place") == at, F.col("rms")))
+    at = lambda share: F.col("last") * share
+    ends = ranked.crossJoin(top).groupBy().agg(F.max("last").alias("last"), *[value(f(at(q))).alias(f"{n}{k}") for n, q in (("lo", 0.25), ("hi", 0.75)) for k, f in enumerate((F.floor, F.ceil))])
+    between = lambda n, q: F.col(f"{n}0") + (at(q) - F.floor(at(q))) * (F.col(f"{n}1") - F.col(f"{n}0"))
+    cuts = F.broadcast(ends.select(between("lo", 0.25).alias("lo"), between("hi", 0.75).alias("hi")))  # one row
     b = e.crossJoin(cuts).withColumn("bits", F.when(F.col("rms") < F.col("lo"), 2).when(F.col("rms") < F.col("hi"), 3).otherwise(4))
     total = F.sum(F.col("n") * F.col("bits"))
     return b.rollup("label", "bits").agg(F.count("*").alias("vectors"), F.sum("n").alias("numbers"), total.cast("long").alias("total_bits"), F.round(total / F.sum("n"), 6).alias("average"))
