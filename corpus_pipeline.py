@@ -48,7 +48,12 @@ STAGES = [("quality", quality_filter), ("lines", line_filter), ("near_duplicates
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to the documents of a folder."""
+    """Applies STAGES to the documents of a folder.
+
+    Rows with null, empty or very long texts, with a null or repeated doc_id, and further columns pass each stage as its own docstring
+    says: quality scores them, lines and near duplicates keep those without words, the mix takes words alone, so that texts without any
+    end there. An empty table gives no rows. Every stage but the last is written to the shared folder.
+    """
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

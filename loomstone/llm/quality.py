@@ -119,6 +119,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs; rows that repeat are scored alike."""
+    """doc_id, held_out, score, predicted for each row of docs; rows that repeat are scored alike.
+
+    A null doc_id is not held out and never learned from. Null and empty texts get the bias's score; a very long text is scored whole,
+    its features a run of texts at a time. Further columns of docs are ignored, whatever their names. An empty table gives no rows; without labels
+    every score is 0.5.
+    """
     score = score_quality(docs, labels)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
