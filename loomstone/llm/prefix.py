@@ -14,14 +14,12 @@ def prefix_sums(df: DataFrame, within: Sequence[str], order: Sequence[Column], v
     """Adds, for each new column in values, the sum of its expression over all rows before this one.
 
     Rows are ordered by order inside each group of the (not null) columns within. The rows are
-    dealt into range partitions, written once, and summed inside each; the partitions' totals
+    dealt into range partitions (as many as there is data for: Spark joins small neighbours), written once, and summed inside each; the partitions' totals
     (a row for each partition and group in it) are summed in turn, so no task holds a group.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in within]
     parts = materialise(
-        df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()).withColumns({f"_{k}": v for k, v in values.items()}), name
+        df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()).withColumns({f"_{k}": v for k, v in values.items()}), name
     )
     totals = parts.groupBy(*within, "_part").agg(*[F.sum(f"_{k}").alias(f"_sum_{k}") for k in values])
     before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
