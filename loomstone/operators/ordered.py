@@ -59,8 +59,7 @@ def total_rank(df: DataFrame, order: Sequence[Column], path: str) -> DataFrame:
     """df with place, 0, 1, ... over all rows in this order. Rows are dealt into range partitions and written to path; only the
     partitions' counts are summed in one place. Rows equal in `order` get places in no set order."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(path)
     parts = spark.read.parquet(path)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each partition

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomstone.operators.checks import accepted, overlaid, strict_match
+from loomstone.operators.ordered import total_rank
 from loomstone.plans.registry import query
 from loomstone.sources.shared import scratch
 from loomstone.sources.tables import table
@@ -90,11 +91,11 @@ def q_equal_texts(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT kind, member, raw, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'pages' THEN 0 ELSE 1 END, raw DESC, member) AS INTEGER) AS place FROM (
   SELECT 'documents' AS kind, source AS member, CAST(sum(strlen(text)) AS BIGINT) AS raw FROM documents GROUP BY source UNION ALL SELECT 'pages', split_part(url, '/', 3), CAST(sum(strlen(html)) AS BIGINT) FROM pages GROUP BY ALL) WHERE member NOT LIKE '%3%'""")
 def q_member_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Groups in a set order, the largest member first, without excluded names. There is a row for each member."""
+    """Groups in a set order, the largest member first, without excluded names."""
     part = lambda name, member, text: table(spark, folder, name).groupBy(member.alias("member")).agg(F.sum(F.octet_length(text).cast("long")).alias("raw")).withColumn("kind", F.lit(name))
     every = part("documents", F.col("source"), "text").unionByName(part("pages", F.split_part("url", F.lit("/"), F.lit(3)), "html")).where(~F.col("member").like("%3%"))
-    w = Window.orderBy(F.when(F.col("kind") == "pages", 0).otherwise(1), F.desc("raw"), "member")
-    return every.select("kind", "member", "raw", F.row_number().over(w).alias("place"))
+    placed = total_rank(every, [F.when(F.col("kind") == "pages", 0).otherwise(1), F.desc("raw"), F.col("member")], scratch(spark, "members"))
+    return placed.select("kind", "member", "raw", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("SELECT user_id, arg_max(event_id, ts::VARCHAR || printf('%012d', event_id)) AS newest FROM events WHERE event_type <> 'view' GROUP BY user_id")

@@ -71,8 +71,8 @@ def q_symbol_scan(spark: SparkSession, folder: str) -> DataFrame:
     return spread.select("doc_id", "pos", F.when(sym.between(0, 255), sym).otherwise(F.raise_error(F.lit("a symbol is out of the alphabet")).cast("int")).alias("sym"))
 
 
-#: Fixed value: the mark of a packed blob.
-MARK = b"MBZ1"
+#: The mark of a packed blob.
+MARK = b"LPK1"
 
 
 def _pack(parts: list[tuple[str, int, bytes]]) -> bytes:

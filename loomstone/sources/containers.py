@@ -10,7 +10,7 @@ from loomstone.functions.scalar import let
 from loomstone.sources.tables import append_trailer, split_trailer
 
 #: Fixed values of the seal.
-META, VERSION, SIZES = "BLSMETA1", 1, ("version", "intro", "coda", "main")
+META, VERSION, SIZES = "LOOMMETA", 1, ("version", "intro", "coda", "main")
 
 
 def _ascii(content: Column) -> Column:
