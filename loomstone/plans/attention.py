@@ -50,9 +50,9 @@ def q_causal_attn(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH p AS (SELECT vec_id // 4 AS pool, list_sum(x) / 4 AS s FROM ({_X})), g AS (SELECT pool, sum(s) AS s FROM p GROUP BY pool),
-c AS (SELECT pool, sum(s) OVER (ORDER BY pool ROWS BETWEEN 8 PRECEDING AND 2 PRECEDING) AS far FROM g),
-t AS (SELECT vec_id, sum(list_sum(x)) OVER (ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS near FROM ({_X}))
-SELECT vec_id, round(coalesce(far, 0), 6) AS far, round(near, 6) AS near FROM t JOIN c ON c.pool = vec_id // 4""".replace("OVER (ORDER BY pool ", "OVER (PARTITION BY pool // 64 ORDER BY pool ").replace("OVER (ORDER BY vec_id ", "OVER (PARTITION BY vec_id // 256 ORDER BY vec_id "))
+c AS (SELECT pool, sum(s) OVER (PARTITION BY pool // 64 ORDER BY pool ROWS BETWEEN 8 PRECEDING AND 2 PRECEDING) AS far FROM g),
+t AS (SELECT vec_id, sum(list_sum(x)) OVER (PARTITION BY vec_id // 256 ORDER BY vec_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS near FROM ({_X}))
+SELECT vec_id, round(coalesce(far, 0), 6) AS far, round(near, 6) AS near FROM t JOIN c ON c.pool = vec_id // 4""")
 def q_prefix_tail(spark: SparkSession, folder: str) -> DataFrame:
     """What lies further back pooled by fours, and the last four vectors as they are (sums of components), in stretches of 256."""
     x = _vectors(spark, folder).select("vec_id", _sum("x").alias("s"), F.floor(F.col("vec_id") / 4).alias("pool"))

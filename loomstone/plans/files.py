@@ -56,8 +56,8 @@ _TOKENS = """names AS (SELECT CAST(n_nationkey AS BIGINT) + 256 AS id, substr(n_
 m AS (SELECT id, NULL::BIGINT AS l, NULL::BIGINT AS r, a || b AS leaf FROM names UNION ALL SELECT id + 25, id, 256 + (id - 256 + 1) % 25, NULL FROM names UNION ALL SELECT id + 50, id + 25, id, NULL FROM names)"""
 
 
-@query(f"""WITH RECURSIVE {_TOKENS}, e AS (SELECT id, leaf AS text FROM m WHERE leaf IS NOT NULL), f AS (SELECT m.id, x.text || y.text AS text FROM m JOIN e x ON x.id = m.l JOIN e y ON y.id = m.r),
-g AS (SELECT m.id, x.text || y.text AS text FROM m JOIN f x ON x.id = m.l JOIN e y ON y.id = m.r) SELECT id, text FROM e UNION ALL SELECT id, text FROM f UNION ALL SELECT id, text FROM g""".replace("WITH RECURSIVE", "WITH"))
+@query(f"""WITH {_TOKENS}, e AS (SELECT id, leaf AS text FROM m WHERE leaf IS NOT NULL), f AS (SELECT m.id, x.text || y.text AS text FROM m JOIN e x ON x.id = m.l JOIN e y ON y.id = m.r),
+g AS (SELECT m.id, x.text || y.text AS text FROM m JOIN f x ON x.id = m.l JOIN e y ON y.id = m.r) SELECT id, text FROM e UNION ALL SELECT id, text FROM f UNION ALL SELECT id, text FROM g""")
 def q_token_expansion(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens made of tokens, down to their text: each round joins what is known to the parts of what isn't, as deep as merges go. The
     table of merges is that of a vocabulary, whose size has a bound."""

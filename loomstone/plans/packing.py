@@ -155,7 +155,8 @@ def _codes_sql(bits: int, n: int) -> str:
     return f"list_transform(range({n}), lambda i: (c >> ({bits} * i)) & {(1 << bits) - 1})"
 
 
-@query(f"SELECT event_id, {_codes_sql(2, 12)} AS two, {_codes_sql(3, 8)} AS three, {_codes_sql(4, 6)} AS four FROM (SELECT event_id, (event_id * 2654435761 + user_id) & 16777215 AS c FROM events)".replace(" AS two", "::VARCHAR AS two").replace(" AS three", "::VARCHAR AS three").replace(" AS four", "::VARCHAR AS four"))
+@query(f"""SELECT event_id, CAST({_codes_sql(2, 12)} AS VARCHAR) AS two, CAST({_codes_sql(3, 8)} AS VARCHAR) AS three, CAST({_codes_sql(4, 6)} AS VARCHAR) AS four
+FROM (SELECT event_id, (event_id * 2654435761 + user_id) & 16777215 AS c FROM events)""")
 def q_unpack_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Three bytes as codes of 2, 3 and 4 bits, lowest bits first."""
     c = (F.col("event_id") * 2654435761 + F.col("user_id")).bitwiseAND(16777215)

@@ -1,4 +1,4 @@
-"""Block features by SQL's measure, a total order by similarity with its permutation, near duplicates by SimHash, first merges."""
+"""Block features, a total order by similarity with its permutation, near duplicates by SimHash, first merges."""
 
 from __future__ import annotations
 
@@ -47,8 +47,8 @@ def q_block_features(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.octet_length("text").alias("len"), structural_key_hex("text").alias("struct_key"), simhash_hex("text").alias("simhash"))
 
 
-@query("""SELECT doc_id, CAST(coalesce(bit_or(1::BIGINT << (x & 63)), 0) AS BIGINT) AS bits FROM (SELECT doc_id, h, CASE WHEN substr(h, 2 * i + 1, 2) = 'c3' THEN CAST(('0x' || substr(h, 2 * i + 3, 2)) AS BIGINT) END AS x
-  FROM (SELECT doc_id, h, unnest(range(greatest(1, least(256, length(h) // 2) - 1))) AS i FROM (SELECT doc_id, lower(hex(encode(text))) AS h FROM documents))) GROUP BY doc_id""".replace("1::BIGINT << (x & 63)", "CASE WHEN x & 63 < 62 THEN 1::BIGINT << (x & 63) ELSE 0 END"))
+@query("""SELECT doc_id, CAST(coalesce(bit_or(CASE WHEN x & 63 < 62 THEN 1::BIGINT << (x & 63) ELSE 0 END), 0) AS BIGINT) AS bits FROM (SELECT doc_id, h, CASE WHEN substr(h, 2 * i + 1, 2) = 'c3' THEN CAST(('0x' || substr(h, 2 * i + 3, 2)) AS BIGINT) END AS x
+  FROM (SELECT doc_id, h, unnest(range(greatest(1, least(256, length(h) // 2) - 1))) AS i FROM (SELECT doc_id, lower(hex(encode(text))) AS h FROM documents))) GROUP BY doc_id""")
 def q_bitset_or(spark: SparkSession, folder: str) -> DataFrame:
     """Which bytes follow a marker byte near a text's start, as bits of their lowest six (of 62)."""
     return table(spark, folder, "documents").select("doc_id", following_bits(F.col("text"), 0xC3, 256).alias("bits"))
