@@ -22,14 +22,14 @@ def q_rate_annotation(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("source", "symbols", F.round(ratio, 6).alias("bytes_per_symbol"), F.round(2.5 / ratio, 6).alias("source_rate"), F.round(F.col("symbols") * 2.5 / 8).cast("long").alias("projected"), total.alias("total"), (total == F.col("symbols") + F.col("n") * 8).alias("plain"))
 
 
-@query("""WITH l AS (SELECT o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 11 = 0 THEN 'inf'::DOUBLE ELSE o_totalprice END AS loss FROM orders)
-SELECT o_custkey, round(avg(loss) FILTER (WHERE isfinite(loss)), 4) AS loss, round(avg(loss) FILTER (WHERE isfinite(loss)) / ln(2), 4) AS bits, count(*) FILTER (WHERE NOT isfinite(loss)) AS left_out FROM l GROUP BY o_custkey""")
+@query("""WITH l AS (SELECT o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'nan'::DOUBLE WHEN o_orderkey % 11 = 0 THEN 'inf'::DOUBLE ELSE round(o_totalprice * 100) END AS loss FROM orders)
+SELECT o_custkey, CAST(floor(sum(loss) FILTER (WHERE isfinite(loss)) * 100 / count(*) FILTER (WHERE isfinite(loss))) AS BIGINT) AS loss, round(sum(loss) FILTER (WHERE isfinite(loss)) / count(*) FILTER (WHERE isfinite(loss)) / ln(2), 4) AS bits, count(*) FILTER (WHERE NOT isfinite(loss)) AS left_out FROM l GROUP BY o_custkey""")
 def q_finite_mean(spark: SparkSession, folder: str) -> DataFrame:
-    """Means over finite losses, in nats and in bits."""
-    loss = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("o_totalprice"))
+    """Means over finite losses, in whole hundredths and in bits."""
+    loss = F.when(F.col("o_orderkey") % 7 == 0, F.lit(float("nan"))).when(F.col("o_orderkey") % 11 == 0, F.lit(float("inf"))).otherwise(F.round(F.col("o_totalprice") * 100))
     finite = ~F.isnan(loss) & (F.abs(loss) < float("inf"))
-    mean = F.avg(F.when(finite, loss))
-    return table(spark, folder, "orders").groupBy("o_custkey").agg(F.round(mean, 4).alias("loss"), F.round(mean / F.log(F.lit(2.0)), 4).alias("bits"), F.count(F.when(~finite, 1)).alias("left_out"))
+    total, n = F.sum(F.when(finite, loss)), F.nullif(F.count(F.when(finite, 1)), F.lit(0))
+    return table(spark, folder, "orders").groupBy("o_custkey").agg(F.floor(total * 100 / n).alias("loss"), F.round(total / n / F.log(F.lit(2.0)), 4).alias("bits"), F.count(F.when(~finite, 1)).alias("left_out"))
 
 
 @query("""SELECT label, round(sqrt(avg(d * d)), 6) AS rms, round(sqrt(avg(d * d)) / sqrt(avg(e * e)), 6) AS relative, round(max(abs(d)), 6) AS largest, count(*) FILTER (WHERE abs(d) > 0.02) AS far

@@ -72,12 +72,12 @@ def q_recent_choice(spark: SparkSession, folder: str) -> DataFrame:
 _WINDOWS = "w AS (SELECT o_custkey, o_orderkey, o_totalprice, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 3 AS win FROM orders)"
 
 
-@query(f"WITH {_WINDOWS} SELECT o_custkey, count(*) AS windows, round(avg(m), 4) AS mean_of_means FROM (SELECT o_custkey, win, avg(o_totalprice) AS m FROM w WHERE win <> 1 GROUP BY ALL) GROUP BY o_custkey")
+@query(f"WITH {_WINDOWS} SELECT o_custkey, count(*) AS windows, CAST(sum(m) // count(*) AS BIGINT) AS mean_of_means FROM (SELECT o_custkey, win, sum(CAST(round(o_totalprice * 100) AS BIGINT)) * 100 // count(*) AS m FROM w WHERE win <> 1 GROUP BY ALL) GROUP BY o_custkey")
 def q_probe_loss(spark: SparkSession, folder: str) -> DataFrame:
-    """The mean of the windows' means, without the window trained on."""
+    """The mean of the windows' means, in whole hundredths of a cent, without the window trained on."""
     win = F.floor((F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1) / 3)
-    x = table(spark, folder, "orders").withColumn("win", win).where("win <> 1").groupBy("o_custkey", "win").agg(F.avg("o_totalprice").alias("m"))
-    return x.groupBy("o_custkey").agg(F.count("*").alias("windows"), F.round(F.avg("m"), 4).alias("mean_of_means"))
+    x = table(spark, folder, "orders").withColumn("win", win).where("win <> 1").groupBy("o_custkey", "win").agg(F.floor(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) * 100 / F.count("*")).alias("m"))
+    return x.groupBy("o_custkey").agg(F.count("*").alias("windows"), F.floor(F.sum("m") / F.count("*")).alias("mean_of_means"))
 
 
 @query("""SELECT o_orderkey, s AS step, CASE WHEN s = 0 OR least(o_orderkey, 65) >= o_orderkey THEN o_orderkey ELSE 65 + (o_orderkey * 31 + s * 1000003) % (o_orderkey - 64) END AS "end",
