@@ -78,7 +78,8 @@ def _slots(targets: DataFrame, seed: int) -> DataFrame:
     )
     counts = prefix_sums(counts, KEY, [F.col("shard")], {"start": F.col("c")}, "mix-counts")
     counts = materialise(counts.withColumn("kept", F.greatest(F.lit(0), F.least("c", F.col("n_slots") - F.col("start")))), "mix-draws")
-    own = counts.where("kept > 0").select("shard", *KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("kept") - 1)).alias("slot"))
+    # Few rows become many slots here: they are dealt out first, to as many tasks as the slots ask for.
+    own = counts.where("kept > 0").repartition(parts, "shard").select("shard", *KEY, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("kept") - 1)).alias("slot"))
     over = counts.groupBy("shard").agg(F.sum(F.col("c") - F.col("kept")).alias("n")).where("n > 0")
     over = prefix_sums(over, [], [F.col("shard")], {"from": F.col("n")}, "mix-over").select("shard", F.explode(F.sequence(F.col("from"), F.col("from") + F.col("n") - 1)).alias("rank"))
     short = targets.join(counts.groupBy(*KEY).agg(F.sum("c").alias("drawn")), KEY, "left").withColumn("n", F.col("n_slots") - F.coalesce("drawn", F.lit(0))).where("n > 0")
