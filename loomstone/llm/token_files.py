@@ -143,7 +143,7 @@ _FIELDS = [("part", pa.int32()), ("seg", pa.int32()), ("n", pa.int64()), ("docs"
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, by_word: bool | None = None) -> None:
-    """Writes (doc_id, text) in ascending doc_id order, null ids first, ties by text; END closes each document.
+    """Writes (doc_id, text) in ascending doc_id order, null ids first, ties by the text's hash and the text; END closes each document.
 
     One function tokenizes and codes. It holds a segment's ids and one Arrow batch of texts, so a text longer than a
     segment is spread over several. Rows equal in both columns can't be dealt to different parts."""
@@ -181,7 +181,9 @@ def write(docs: DataFrame, folder: str, path: str | None = None, by_word: bool |
             }
             yield pa.RecordBatch.from_pylist([row], pa.schema(_FIELDS))
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # Spark samples the columns that it deals by for the driver: a hash stands for the text there.
+    tied = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    ordered = tied.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(lean(run), _SEGMENT).write.parquet(folder)
 
 
@@ -249,7 +251,7 @@ def digest(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from its files.
 
     A null or empty text has the end id only. Rows that repeat a doc_id are documents of their own,
-    ordered by text. A very long text is spread over segments, whose checksums are joined. Further columns are
+    ordered by the text's hash and the text. A very long text is spread over segments, whose checksums are joined. Further columns are
     ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
